@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearpress.llm import lookalike, nearcopies, sitelines
+from nearpress.llm import lookalike, mixing, nearcopies, packing, sitelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": nearcopies.p2_found,
@@ -16,6 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_clean": sitelines.p3_clean,
     "p5_found": lookalike.p5_found,
     "p5_forms": lookalike.p5_forms,
+    "p6_packed": packing.p6_packed,
+    "p6_fill": packing.p6_fill,
+    "p7_mixed": mixing.p7_mixed,
+    "p7_report": mixing.p7_report,
 }
 
 ORACLES: dict[str, str] = {**sitelines.ORACLE}
