@@ -97,7 +97,7 @@ def repeated_lines(candidates: DataFrame, min_docs: int, min_share: float) -> Da
     variants = candidates.groupBy(*line, piece.alias("piece"), "raw").agg(F.bitmap_construct_agg(bit).alias("bits"))
     united = cut(variants.groupBy(*line, "piece").agg(F.bitmap_or_agg("bits").alias("bits")))
     total = united.groupBy(*line).agg(F.sum(F.bitmap_count("bits")).alias("n_docs")).where(_reached("n_docs", min_docs, min_share))
-    return united.drop("n_texts").join(total.drop("n_texts"), ["host", "h0", "h1"])
+    return united.drop("n_texts").join(total, ["host", "h0", "h1"])
 
 
 def _bit_set(bits: str, bit: Column) -> Column:
@@ -105,8 +105,8 @@ def _bit_set(bits: str, bit: Column) -> Column:
     return F.floor(byte / F.pow(F.lit(2.0), bit % 8)).cast("int") % 2 == 1
 
 
-def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``text_id, line_no`` of every repeated line, by bitmap lookup.
+def occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``text_id, line_no, n_docs, n_texts`` of every repeated line, by bitmap lookup.
 
     ``texts`` has ``text_id, filepath, body``, ``entries`` has ``filepath,
     url``; other columns are ignored.  A text with null body, id or path, or
@@ -120,8 +120,13 @@ def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = M
     repeated = cut(repeated_lines(candidates, min_docs, min_share))
     looked = candidates.withColumn("piece", F.bitmap_bucket_number("text_id"))
     # a bitmap has 4 KB: at most 20 MB are broadcast
-    looked = looked.join(maybe_broadcast(repeated, repeated.count(), 5_000), ["host", "h0", "h1", "piece"])
-    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", "line_no").distinct()
+    looked = looked.join(maybe_broadcast(repeated.drop("n_texts"), repeated.count(), 5_000), ["host", "h0", "h1", "piece"])
+    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", "line_no", "n_docs", "n_texts")
+
+
+def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``text_id, line_no`` of every repeated line; see ``occurrences``."""
+    return occurrences(texts, entries, min_docs, min_share).select("text_id", "line_no").distinct()
 
 
 def remove_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
