@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearpress.llm import lookalike, mixing, nearcopies, packing, residue, sitelines, stuffing
+from nearpress.llm import lookalike, mainbody, mixing, nearcopies, packing, residue, sitelines, stuffing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": mainbody.p1_found,
     "p2_found": nearcopies.p2_found,
     "p2_groups": nearcopies.p2_groups,
     "p2_documents": nearcopies.p2_documents,
