@@ -67,7 +67,7 @@ DESCRIBES = re.compile(
 MESSAGE = re.compile(
     r"javascript|\bscripts?\b|\bscripting\b|\bjs\b|noscript|skripte?\b|скрипт|\bcookies\b|"
     r"\berrors?\b|\berreur\b|\bfehler\b|ошибк|\bhttp\b|\bstatus\b.{0,4}\d|^\W*[45]\d\d\b|\bcode \w*\d|"
-    r"not found|introuvable|nicht gefunden|не найден|no encontrad|cannot find|can't find|could not be found|does not exist|n'existe|no existe|gibt es nicht|не существует|disparu|"
+    r"not found|introuvable|nicht gefunden|не найден|no encontrad|cannot find|could not find|can't find|could not be found|does not exist|n'existe|no existe|gibt es nicht|не существует|disparu|"
     r"\bunavailable|indisponible|no disponible|nicht verfügbar|недоступ|no longer (?:available|here|exists?)|\bmoved or deleted|\bwas (?:removed|deleted)|"
     r"maintenance|wartung|mantenimiento|обслуживани|\bgateway\b|time-?out|timed out|did not answer|upstream|database connection|internal server|request failed|bad request|"
     r"access (?:denied|refused)|accès|acceso|zugriff|доступ|permission|forbidden|verboten|prohibido|not authori[sz]ed|unauthori[sz]ed|"
@@ -75,7 +75,7 @@ MESSAGE = re.compile(
     r"too many requests|\brequest reference|reference [0-9a-f]{6}|referencia [0-9a-f]|référence [0-9a-f]|\bcode de suivi|suivi [0-9a-f]|\bincident\b|\bvorgang [0-9a-f]|\bfolio [0-9a-f]|\bray [0-9a-f]|kennung [0-9a-f]|код [0-9a-f]|"
     r"réessayez|try again|\bretry\b|inténtalo|vuelve a intentar|erneut versuchen|versuchen sie|попробуйте|повторите|reload|refresh (?:the|this)|recharge|neu laden|обновите|"
     r"go back|search box|zurück zur|retournez|vuelve (?:a la|al)|вернитесь|на главную|startseite|\baccueil\b|página de inicio|"
-    r"\bsorry\b|désolé|entschuldig|lo sentimos|извините|\boops\b|\boups\b|\bvaya\b|\bhoppla\b|\bups\b|right back|went wrong|has been told|s'est mal passé|schiefgelaufen|salido mal|пошло не так|"
+    r"\bsorry\b|désolé|entschuldig|lo sentimos|извините|\bw?h?oops\b|\boups\b|\bvaya\b|\bhoppla\b|\bups\b|right back|went wrong|has been told|s'est mal passé|schiefgelaufen|salido mal|пошло не так|"
     r"checking your browser|\bbrowser\b|navigateur|navegador|браузер|\bhuman\b|robot|captcha|humain|humano|"
     r"\bloading\b|chargement|wird geladen|cargando|загрузк|загружа|please wait|patientez|bitte warten|espere|подождите|"
     r"turn (?:them|it) on|switch (?:them|it)? ?on|einschalten|activa\b|habilita|activez|aktivieren|включите|some parts cannot|cannot be shown|angezeigt werden|"
@@ -83,48 +83,74 @@ MESSAGE = re.compile(
 
 #: Phrases that stand in for text.
 FILLER = re.compile(
-    r"\b(?:lorem|ipsum|dolor sit)\b|\b(\w{1,6})(?: \1){2,}|\bcoming soon\b|placeholder|\byour (?:text|content) here|(?:text|content) (?:to be added|goes here)|"
+    r"\b(?:lorem|ipsum|dolor sit)\b|\bcoming soon\b|placeholder|\byour (?:text|content) here|(?:text|content) (?:to be added|goes here)|"
     r"sample (?:text|content)|dummy text|asdf|qwer|\bto be (?:added|written|announced)|\btbd\b|\btba\b|under construction|bientôt disponible|en construction|"
     r"demnächst|platzhalter|beispieltext|próximamente|texto de (?:ejemplo|relleno)|texte (?:à venir|d'exemple)|скоро будет|пример текста|текст скоро", re.I)
 
-_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_FUNCTION_WORD = r"(?i)(?:^|[^\p{L}])(?:" + "|".join(sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})) + r"|[lds]['’]\p{L}+)(?:[^\p{L}]|$)"
 _FINAL = re.compile(r"[.!?…:]\W*$")
+#: A word said three times or more and nothing else.
+_SAID_AGAIN = re.compile(r"^\W*(\w{1,6})(?:\W+\1){2,}\W*$", re.I)
 
 TITLE_WORDS = 7
 FILLER_WORDS = 4
 
 
-def stands_in(sentence: str) -> bool:
-    """Whether a sentence is filler."""
-    if FILLER.search(sentence):
-        return True
-    words = [w.lower() for w in _WORD.findall(sentence)]
-    return len(words) >= FILLER_WORDS and bool(_FINAL.search(sentence)) and not any(w in _FUNCTION or w[0] in "lds" and w[1:2] in "'’" for w in words)
+def _matches(values: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False)
 
 
-def only_message(body: str, strict: set[int], loose: set[int]) -> bool:
-    """Whether nothing but a message or filler is left.
+def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each line whether it is only message or filler, and whether it can be a title.
+
+    Blank lines are neither.
+    """
+    parts = pc.split_pattern(pc.replace_substring_regex(lines, r"([.!?…])\s+", "\\1\x1e"), "\x1e")
+    line = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+    sentences = pc.utf8_trim_whitespace(parts.flatten())
+    there = pc.binary_length(sentences).to_numpy(zero_copy_only=False) > 0
+    kind = _matches(sentences, "(?i)" + MESSAGE.pattern) | _matches(sentences, "(?i)" + FILLER.pattern)
+    words = pc.count_substring_regex(sentences, r"\p{L}+").to_numpy(zero_copy_only=False)
+    final = _matches(sentences, r"[.!?…:][^\p{L}\p{N}]*$")
+    bare = np.flatnonzero(~kind & there & final & (words >= FILLER_WORDS))
+    kind[bare] = ~_matches(sentences.take(pa.array(bare)), _FUNCTION_WORD)
+    short = np.flatnonzero(~kind & there & (pc.binary_length(sentences).to_numpy(zero_copy_only=False) < 60) & (words >= 3))
+    kind[short] = [bool(_SAID_AGAIN.match(x)) for x in sentences.take(pa.array(short)).to_pylist()]
+    n = len(lines)
+    all_kinds = (np.bincount(line[there], minlength=n) > 0) & (np.bincount(line[there & ~kind], minlength=n) == 0)
+    title = (pc.count_substring_regex(lines, r"\S+").to_numpy(zero_copy_only=False) <= TITLE_WORDS) & ~_matches(lines, r"[.!?…:][^\p{L}\p{N}]*$")
+    return all_kinds, title
+
+
+def only_messages(bodies: pa.Array, strict: list, loose: list) -> list[bool]:
+    """For each body whether nothing but a message or filler is left.
 
     ``strict`` are the lines repeated on the host, ``loose`` those which come
     back there but less often; these may be messages too.
     """
-    titles, said = 0, False
-    for no, line in enumerate(body.split("\n")):
-        line = line.strip()
-        if not line or no in strict:
-            continue
-        kinds = [bool(MESSAGE.search(s)) or stands_in(s) for s in _SENTENCES.split(line) if s]
-        if all(kinds):
-            said = True
-        elif no in loose:
-            continue
-        elif titles == 0 and len(line.split()) <= TITLE_WORDS and not _FINAL.search(line):
-            titles += 1
-        else:
-            return False
-    return said
+    parts = pc.split_pattern(bodies, "\n")
+    lines = parts.flatten()
+    kinds, title = line_kinds(lines)
+    blank = pc.binary_length(pc.utf8_trim_whitespace(lines)).to_numpy(zero_copy_only=False) == 0
+    ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    out, at = [], 0
+    for k, end in enumerate(ends.tolist()):
+        firm, soft = set(strict[k] or ()), set(loose[k] or ())
+        titles, said, content = 0, False, False
+        for i in range(at, end):
+            no = i - at
+            if blank[i] or no in firm:
+                continue
+            if kinds[i]:
+                said = True
+            elif no not in soft:
+                if titles or not title[i]:
+                    content = True
+                    break
+                titles += 1
+        out.append(said and not content)
+        at = end
+    return out
 
 
 def _marks(before: str, after: str) -> tuple[int, int]:
@@ -170,15 +196,25 @@ _FOUND = "id long, only boolean, frames array<long>, bits array<long>, tells arr
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts that are only a message, and those with fields."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for i, body, strict, loose in zip(*(c.to_pylist() for c in batch.columns)):
-            stub = only_message(body, set(strict or ()), set(loose or ()))
-            fields = fields_of(body)
-            if stub or fields:
-                for column, value in zip(out, (i, stub, [f[0] for f in fields], [f[1] for f in fields], [f[2] for f in fields])):
-                    column.append(value)
-        types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "only", "frames", "bits", "tells"])
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield _read_slice(batch.slice(a, b - a))
+
+
+def _read_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out: list[list] = [[], [], [], [], []]
+    ids, strict, loose = (batch.column(k).to_pylist() for k in (0, 2, 3))
+    bodies = batch.column(1).cast(pa.string())
+    may_have = _matches(bodies, _MAY_HAVE.pattern)
+    for k, stub in enumerate(only_messages(bodies, strict, loose)):
+        fields = fields_of(bodies[k].as_py()) if may_have[k] else []
+        if stub or fields:
+            for column, value in zip(out, (ids[k], stub, [f[0] for f in fields], [f[1] for f in fields], [f[2] for f in fields])):
+                column.append(value)
+    types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "only", "frames", "bits", "tells"])
 
 
 def _word_frames(filter_bytes: bytes):
