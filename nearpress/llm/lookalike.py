@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpress.llm.common import key128, table, words_expr
+from nearpress.llm.common import cut, key128, table, words_expr
 
 #: Letters of other scripts and the Latin letter of the same shape.
 LOOKALIKES = {
@@ -242,7 +242,7 @@ def same_look_pairs(df: DataFrame, id_col: str, value_col: str, form: Column, mi
     rows = rows.where(F.col("id").isNotNull() & F.col("value").isNotNull()).withColumn("form", form)
     if min_words:
         rows = rows.where(words_expr("form") >= min_words)
-    keyed = rows.select("id", key128("form").alias("f"), key128("value").alias("v"))
+    keyed = cut(rows.select("id", key128("form").alias("f"), key128("value").alias("v")))  # the form is worked out once
     varied = keyed.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("f")
     keyed = keyed.join(varied, "f", "left_semi")
     spellings = keyed.select("f", "v").distinct()
