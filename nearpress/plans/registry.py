@@ -1,3 +1,366 @@
-"""Queries of the engine by name."""
+"""Queries of the engine by name.
 
-QUERIES = {}
+Each takes a session and the folder of the tables.  Searches over pairs take as
+queries the rows whose id is divisible by 20, against all rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearpress.codecs import Spec
+from nearpress.functions import article, distance, html, labels
+from nearpress.operators import analytics, pairs, search, triangle
+from nearpress.session import cut, ordinal, small
+from nearpress.sources import manifest, urls
+
+#: Every so many ids one is a query of a search.
+QUERY_STEP = 20
+#: Tolerance of the range searches, and pivots of the pruned one.
+TOLERANCE = 0.25
+PIVOTS = 8
+#: Neighbours of the flagship query.
+NEAREST = 5
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _kind(c: str = "page_type"):
+    return F.lower(F.trim(c))
+
+
+# urls, manifests, labels
+
+
+def url_domain_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_domain("url").alias("domain"), urls.url_file_path("url").alias("path"))
+
+
+def url_decoded_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "entries").select("entry_id", urls.url_stem("url").alias("stem"))
+
+
+def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows written as lines of a manifest and parsed again."""
+    lines = table(spark, sf_dir, "manifest").select("corpus", "pos", F.concat(F.lit('"'), "url", F.lit('", "'), F.coalesce("page_type", F.lit("")), F.lit('"')).alias("line"))
+    return lines.select("corpus", "pos", manifest.parse_line("line").alias("r")).where("r is not null").select("corpus", "pos", "r.url", "r.page_type")
+
+
+def file_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest rows whose file exists."""
+    files = table(spark, sf_dir, "pages").select("filepath").unionByName(table(spark, sf_dir, "page_texts").select("filepath"))
+    rows = table(spark, sf_dir, "manifest").select("corpus", "pos", "url")
+    return manifest.resolve(rows, files, F.concat(F.lit("dataset/"), F.col("corpus"), F.lit("/")))
+
+
+def first_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each url of a corpus."""
+    return manifest.first_by_url(table(spark, sf_dir, "manifest"), "corpus")
+
+
+def page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = labels.page_label("url", "page_type")
+    return table(spark, sf_dir, "entries").select("entry_id", label.alias("label"), labels.short_label(label).alias("short"))
+
+
+def quality_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements by bucket of quality."""
+    rows = table(spark, sf_dir, "pivot_distances")
+    return rows.groupBy(labels.quality_bucket("quality").alias("bucket"), labels.hover_text("lg_window_size", "quality").alias("hover")).agg(F.count("*").alias("n"))
+
+
+# distances that were measured
+
+
+def distance_given_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance from the three sizes, beside the measured one."""
+    rows = table(spark, sf_dir, "pivot_distances")
+    return rows.select("page_id", "pivot_id", "codec", "quality", "c_both", distance.distance("c_page", "c_pivot", "c_both").alias("d"))
+
+
+def distance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pivot_distances")
+    return rows.groupBy(distance.scaled("distance").alias("d_scaled")).agg(F.count("*").alias("n"))
+
+
+def measured_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.histogram(table(spark, sf_dir, "pivot_distances"), "codec", "distance")
+
+
+def measured_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.group_median(table(spark, sf_dir, "pivot_distances"), None, "codec", "distance")
+
+
+def measured_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages within the tolerance of each pivot, repeated measurements counted once."""
+    rows = table(spark, sf_dir, "pivot_distances")
+    near = rows.where(distance.scaled("distance") <= search.scale_tolerance(TOLERANCE)).select("pivot_id", "page_id").distinct()
+    counts = near.groupBy("pivot_id").agg(F.count("*").alias("n_pages"))
+    return table(spark, sf_dir, "pivots").join(counts, "pivot_id", "left").select("pivot_id", "url", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
+def measured_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last measurement of each pair and setting, by time and then arrival."""
+    rows = table(spark, sf_dir, "pivot_distances")
+    when = F.struct("measured_at", "arrived_at", "c_both")
+    return rows.groupBy("page_id", "pivot_id", "codec", "quality", "lg_window_size").agg(F.max_by("distance", when).alias("distance"), F.count("*").alias("n"))
+
+
+def scatter_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.scatter(table(spark, sf_dir, "pivot_distances"))
+
+
+def optimal_opts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setting that parts near from far measurements best."""
+    rows = table(spark, sf_dir, "pivot_distances").where("codec = 'brotli'")
+    # whole numbers, so that the sum doesn't depend on its order
+    scores = rows.select("quality", "lg_window_size", F.when(F.col("distance") >= 0.5, 1).otherwise(-1).cast("long").alias("sign"), distance.scaled("distance").alias("d"))
+    return analytics.best_options(scores)
+
+
+# texts
+
+
+def clean_text_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", article.clean_text_basic("text").alias("text"))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", article.clean("text").alias("text"))
+
+
+def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, html, page_type`` by the first entry of each file."""
+    entries = table(spark, sf_dir, "entries").where("filepath is not null")
+    kinds = entries.groupBy("filepath").agg(F.min_by(_kind(), F.struct("corpus", "pos", "entry_id")).alias("page_type"))
+    return table(spark, sf_dir, "pages").join(kinds, "filepath", "left").select("page_id", "url", "html", "page_type")
+
+
+def article_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_pages(spark, sf_dir).select("page_id", "page_type", article.content_by_type("html", "page_type").alias("content"))
+
+
+def wiki_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", article.wiki_content("html").alias("content"))
+
+
+def grok_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", article.grok_content("html").alias("content"))
+
+
+def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_structure("html").alias("structure"))
+
+
+def html_strip_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_strip_content("html").alias("stripped"))
+
+
+# sizes
+
+
+def _sizes(spark: SparkSession, sf_dir: str, codec: Spec) -> DataFrame:
+    return distance.sizes_of(table(spark, sf_dir, "pages").select("page_id", "html"), "html", codec).select("page_id", "c")
+
+
+def size_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, Spec("zstd_recommended"))
+
+
+def size_brotli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, Spec("brotli_recommended"))
+
+
+def size_tokenset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, Spec("tokenset"))
+
+
+def size_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.cache_stats(table(spark, sf_dir, "documents"), "text")
+
+
+def ncd_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of each body to that of the next text id, by brotli."""
+    t = table(spark, sf_dir, "page_texts").select("text_id", "body")
+    nxt = t.select((F.col("text_id") - 1).alias("text_id"), F.col("body").alias("other"))
+    return t.join(nxt, "text_id").select("text_id", distance.ncd("body", "other", Spec("brotli_recommended")).alias("d"))
+
+
+# pairs of pages
+
+
+def _page_texts(spark: SparkSession, sf_dir: str, text) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.alias("text"))
+
+
+def _queries(df: DataFrame) -> DataFrame:
+    return df.where(F.col("id") % QUERY_STEP == 0)
+
+
+def nearest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the nearest pages by structure, brotli at the recommended setting."""
+    pages = cut(_page_texts(spark, sf_dir, html.html_structure("html")))
+    found = pairs.cross_distances(_queries(pages), pages, Spec("brotli_recommended"))
+    return pairs.nearest(found, NEAREST).select(F.col("i").alias("page_id"), F.col("j").alias("other_id"), "d", "rank")
+
+
+def nearest_texts_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest page of each query by its whole source, zstd at the recommended setting."""
+    pages = _page_texts(spark, sf_dir, F.col("html"))
+    found = pairs.cross_distances(_queries(pages), pages, Spec("zstd_recommended"))
+    return pairs.nearest(found, 1).select(F.col("i").alias("page_id"), F.col("j").alias("other_id"), "d")
+
+
+def _token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _page_texts(spark, sf_dir, F.col("html"))
+    return pairs.token_distances(_queries(pages), pages)
+
+
+def matrix_tokenset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heatmap data of the queries against all pages."""
+    names = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), urls.url_stem("url").alias("label"))
+    return pairs.labelled(_token_pairs(spark, sf_dir), names, names)
+
+
+def triangle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of two queries and any page which break the triangle inequality."""
+    return triangle.triangle_violations(_token_pairs(spark, sf_dir))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, text, x``: the pages with their position."""
+    rows = _page_texts(spark, sf_dir, F.col("html")).where("text is not null")
+    at = ordinal(rows.select("id"), ["id"], out="x")
+    return cut(rows.join(at, "id"))
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The positions, and ``q, x, d`` of every query with every page."""
+    pages = _positions(spark, sf_dir)
+    found = pairs.token_distances(_queries(pages), pages)
+    at = pages.select(F.col("id").alias("j"), "x")
+    return pages, found.join(at, "j").select(F.col("i").alias("q"), "x", "d")
+
+
+def range_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.first_match(_searched(spark, sf_dir)[1], TOLERANCE)
+
+
+def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.range_search(_searched(spark, sf_dir)[1], TOLERANCE)
+
+
+def _pruned(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``q, calls`` and ``q, x, d_scaled`` of the search by pivots."""
+    chosen = search.pivot_positions(pages.count(), PIVOTS)
+    piv = pages.where(F.col("x").isin(chosen))
+    far = pairs.token_distances(piv.select("id", "text"), pages.select("id", "text"))
+    order = piv.select(F.col("id").alias("i"), F.col("x").alias("q"))
+    at = pages.select(F.col("id").alias("j"), "x")
+    tab = cut(search.pivot_table(far.join(small(order, len(chosen)), "i").join(at, "j").select("q", "x", "d")))
+    ids = pages.select("id", "x")
+    queries = tab.join(_queries(ids), "x").select(F.col("id").alias("q"), "p")
+    left = cut(search.prune(queries, tab, TOLERANCE))
+    t = pages.select("id", "x", pairs.tokens("text").alias("t"))
+    both = left.join(t.select(F.col("id").alias("q"), F.col("t").alias("t_q")), "q").join(t.select("x", F.col("t").alias("t_x")), "x")
+    a, b, shared = F.size("t_q"), F.size("t_x"), F.size(F.array_intersect("t_q", "t_x"))
+    exact = both.select("q", "x", distance.distance(a, b, a + b - shared).alias("d"))
+    calls = left.groupBy("q").agg((F.count("*") + len(chosen)).alias("calls"))
+    return calls, search.range_search(exact, TOLERANCE)
+
+
+def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result as ``range_search``, by pivots."""
+    return _pruned(_positions(spark, sf_dir))[1]
+
+
+def search_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, found = _searched(spark, sf_dir)
+    return search.divergence(search.first_match(found, TOLERANCE), _pruned(pages)[1])
+
+
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, found = _searched(spark, sf_dir)
+    brute = cut(search.first_match(found, TOLERANCE))
+    calls, hits = _pruned(pages)
+    return search.search_summary(brute, calls, search.divergence(brute, hits))
+
+
+# two corpora
+
+
+def _corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, id, text, topic, i``: texts of the two corpora with their position in each."""
+    entries = table(spark, sf_dir, "entries").where("filepath is not null")
+    first = entries.groupBy("filepath").agg(F.min_by(F.struct(_kind().alias("kind"), urls.topic("url").alias("topic")), F.struct("corpus", "pos", "entry_id")).alias("e"))
+    texts = table(spark, sf_dir, "page_texts").where("body is not null").join(first, "filepath").where("e.kind in ('wiki', 'grok')")
+    rows = texts.select(F.col("e.kind").alias("kind"), F.col("text_id").alias("id"), F.col("body").alias("text"), F.col("e.topic").alias("topic"))
+    at = ordinal(rows.select("kind", "id"), ["id"], ["kind"])
+    return cut(rows.join(at, ["kind", "id"]))
+
+
+def _cross(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _corpora(spark, sf_dir)
+    left, right = rows.where("kind = 'wiki'"), rows.where("kind = 'grok'")
+    found = pairs.token_distances(_queries(left), right)
+    a, b = left.select("id", F.col("i").alias("a")), right.select("id", F.col("i").alias("b"))
+    placed = found.join(a, found.i == a.id).drop("id").join(b, found.j == b.id).drop("id")
+    return left, right, placed.select(F.col("i").alias("wiki_id"), F.col("j").alias("grok_id"), F.col("a").alias("i"), F.col("b").alias("j"), "d")
+
+
+def cross_matrix_tokenset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cross(spark, sf_dir)[2]
+
+
+def related_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.related_split(_cross(spark, sf_dir)[2])
+
+
+def related_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right, found = _cross(spark, sf_dir)
+    ids = found.select(F.col("wiki_id").alias("i"), F.col("grok_id").alias("j"), "d")
+    return analytics.split_by_topic(ids, left, right)
+
+
+def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.histogram(related_split(spark, sf_dir))
+
+
+def group_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.group_median(related_split(spark, sf_dir), [analytics.SAME, analytics.DIFFERENT])
+
+
+# settings
+
+
+def same_page_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of a page to itself at 24 settings: the first page of each corpus."""
+    pages = table(spark, sf_dir, "pages").where("html is not null and html <> ''")
+    corpus = F.get(F.split("filepath", "/"), F.lit(1))
+    first = pages.groupBy(corpus.alias("corpus")).agg(F.min_by("html", "page_id").alias("text_a")).withColumn("text_b", F.col("text_a"))
+    return analytics.sweep(first, analytics.grid(spark, range(3, 11), range(20, 23)))
+
+
+def optimal_opts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 143 settings for the first two texts of each of two corpora."""
+    rows = _corpora(spark, sf_dir).where("i < 2")
+    four = rows.select(F.concat(F.when(F.col("kind") == "wiki", "w").otherwise("g"), (F.col("i") + 1).cast("string")).alias("slot"), "text")
+    swept = analytics.sweep(analytics.topic_pairs(four), analytics.grid(spark, range(1, 12), range(10, 23)))
+    return analytics.best_options(swept.withColumn("d", F.col("distance")))
+
+
+_NAMES = """
+url_domain_path url_decoded_name manifest_parse file_resolution first_entry page_label quality_bucket
+distance_given_sizes distance_scale measured_histogram measured_median measured_range measured_latest scatter_data optimal_opts_rank
+clean_text_basic clean_text article_content wiki_content grok_content html_structure html_strip_content
+size_zstd size_brotli size_tokenset size_cache_stats ncd_neighbours nearest_pages nearest_texts_zstd
+matrix_tokenset triangle_violations range_first_match range_search pruned_search search_divergence search_summary
+cross_matrix_tokenset related_split related_by_topic distance_histogram group_median same_page_sweep optimal_opts
+""".split()
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES}
