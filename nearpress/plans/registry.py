@@ -19,8 +19,11 @@ from nearpress.sources import manifest, urls
 
 #: Every so many ids one is a query of a search.
 QUERY_STEP = 20
-#: Tolerance of the range searches, and pivots of the pruned one.
+#: Tolerance of the range searches.
 TOLERANCE = 0.25
+#: Tolerance of the searches by the stand-in codec, whose distances are larger.
+TOKEN_TOLERANCE = 0.8
+#: Pivots of the pruned search.
 PIVOTS = 8
 #: Neighbours of the flagship query.
 NEAREST = 5
@@ -248,11 +251,11 @@ def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def range_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.first_match(_searched(spark, sf_dir)[1], TOLERANCE)
+    return search.first_match(_searched(spark, sf_dir)[1], TOKEN_TOLERANCE)
 
 
 def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.range_search(_searched(spark, sf_dir)[1], TOLERANCE)
+    return search.range_search(_searched(spark, sf_dir)[1], TOKEN_TOLERANCE)
 
 
 def _pruned(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,13 +268,13 @@ def _pruned(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     tab = cut(search.pivot_table(far.join(small(order, len(chosen)), "i").join(at, "j").select("q", "x", "d")))
     ids = pages.select("id", "x")
     queries = tab.join(_queries(ids), "x").select(F.col("id").alias("q"), "p")
-    left = cut(search.prune(queries, tab, TOLERANCE))
+    left = cut(search.prune(queries, tab, TOKEN_TOLERANCE))
     t = pages.select("id", "x", pairs.tokens("text").alias("t"))
     both = left.join(t.select(F.col("id").alias("q"), F.col("t").alias("t_q")), "q").join(t.select("x", F.col("t").alias("t_x")), "x")
     a, b, shared = F.size("t_q"), F.size("t_x"), F.size(F.array_intersect("t_q", "t_x"))
     exact = both.select("q", "x", distance.distance(a, b, a + b - shared).alias("d"))
     calls = left.groupBy("q").agg((F.count("*") + len(chosen)).alias("calls"))
-    return calls, search.range_search(exact, TOLERANCE)
+    return calls, search.range_search(exact, TOKEN_TOLERANCE)
 
 
 def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,12 +284,12 @@ def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, found = _searched(spark, sf_dir)
-    return search.divergence(search.first_match(found, TOLERANCE), _pruned(pages)[1])
+    return search.divergence(search.first_match(found, TOKEN_TOLERANCE), _pruned(pages)[1])
 
 
 def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, found = _searched(spark, sf_dir)
-    brute = cut(search.first_match(found, TOLERANCE))
+    brute = cut(search.first_match(found, TOKEN_TOLERANCE))
     calls, hits = _pruned(pages)
     return search.search_summary(brute, calls, search.divergence(brute, hits))
 
