@@ -108,9 +108,14 @@ def tokens(text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(F.col(text) if isinstance(text, str) else text, " "), lambda t: t != ""))
 
 
+def hashed_tokens(text: Column | str) -> Column:
+    """The distinct pieces by their hashes, which are smaller to move and to compare."""
+    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+
+
 def token_distances(left: DataFrame, right: DataFrame, block: int = TOKEN_BLOCK) -> DataFrame:
     """``i, j, c_i, c_j, c_ij, d`` by the stand-in codec, without Python."""
-    a, b = (cut(d.select(F.col("id").cast("long").alias("id"), tokens("text").alias("t")).where("id is not null and t is not null")) for d in (left, right))
+    a, b = (cut(d.select(F.col("id").cast("long").alias("id"), hashed_tokens("text").alias("t")).where("id is not null and t is not null")) for d in (left, right))
     a, b = _cells(a, b, block)
     pairs = a.select("lb", "rb", F.col("id").alias("i"), F.col("t").alias("t_i")).join(b.select("lb", "rb", F.col("id").alias("j"), F.col("t").alias("t_j")), ["lb", "rb"])
     sized = pairs.select("i", "j", F.size("t_i").cast("long").alias("c_i"), F.size("t_j").cast("long").alias("c_j"), F.size(F.array_intersect("t_i", "t_j")).alias("both"))

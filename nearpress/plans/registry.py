@@ -269,7 +269,7 @@ def _pruned(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = pages.select("id", "x")
     queries = tab.join(_queries(ids), "x").select(F.col("id").alias("q"), "p")
     left = cut(search.prune(queries, tab, TOKEN_TOLERANCE))
-    t = pages.select("id", "x", pairs.tokens("text").alias("t"))
+    t = pages.select("id", "x", pairs.hashed_tokens("text").alias("t"))
     both = left.join(t.select(F.col("id").alias("q"), F.col("t").alias("t_q")), "q").join(t.select("x", F.col("t").alias("t_x")), "x")
     a, b, shared = F.size("t_q"), F.size("t_x"), F.size(F.array_intersect("t_q", "t_x"))
     exact = both.select("q", "x", distance.distance(a, b, a + b - shared).alias("d"))
