@@ -24,6 +24,7 @@ BLOCK = 64
 #: Rows of a block where no text is held.
 TOKEN_BLOCK = 512
 
+_PAIR_NAMES = ["i", "j", "c_i", "c_j", "c_ij"]
 _PAIRS = "i long, j long, c_i long, c_j long, c_ij long"
 
 
@@ -35,20 +36,27 @@ def _cells(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, Da
     """Both sides with ``lb, rb``, each row in every cell of its block."""
     n_left, n_right = (max(1, math.ceil(d.count() / block)) for d in (left, right))
     left = _blocked(left, n_left, "lb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    right = _blocked(right, n_right, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    right = _blocked(_fresh(right), n_right, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     return left, right
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns as new ones: a table may meet itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _half_cells(df: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """A table with itself in the cells ``lb <= rb``."""
     n = max(1, math.ceil(df.count() / block))
     left = _blocked(df, n, "lb").withColumn("rb", F.explode(F.sequence(F.col("lb"), F.lit(n - 1))))
-    right = _blocked(df, n, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb"))))
+    right = _blocked(_fresh(df), n, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb"))))
     return left, right
 
 
 def _cell_distances(codec: Spec, half: bool):
     def op(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # a side without rows has no columns either
+            return pa.table([pa.array([], pa.int64())] * 5, names=_PAIR_NAMES)
         size = pair_size(codec)
         a = list(zip(*(left.column(c).to_pylist() for c in ("id", "text", "c"))))
         b = [(j, u.encode(), cj) for j, u, cj in zip(*(right.column(c).to_pylist() for c in ("id", "text", "c")))]
@@ -62,7 +70,7 @@ def _cell_distances(codec: Spec, half: bool):
                 row = (i, j, ci, cj, size(x, y)) if not half or i <= j else (j, i, cj, ci, size(x, y))
                 for column, value in zip(out, row):
                     column.append(value)
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["i", "j", "c_i", "c_j", "c_ij"])
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=_PAIR_NAMES)
 
     return op
 

@@ -19,15 +19,20 @@ def page_sizes(pages: DataFrame, codec: Spec) -> DataFrame:
     return pages.select("page_id", compressed_size(html_structure("html"), codec).alias("c"))
 
 
+def _timed(stream: DataFrame) -> DataFrame:
+    """Watermarks take times with a zone; the tables have them without."""
+    return stream.withColumn("measured_at", F.col("measured_at").cast("timestamp"))
+
+
 def new_measurements(stream: DataFrame, late: str = "30 days") -> DataFrame:
     """Measurements without repeated rows; state is kept as long as rows may be late."""
     key = ["page_id", "pivot_id", "codec", "quality", "lg_window_size", "measured_at"]
-    return stream.withWatermark("measured_at", late).dropDuplicatesWithinWatermark(key)
+    return _timed(stream).withWatermark("measured_at", late).dropDuplicatesWithinWatermark(key)
 
 
 def window_counts(stream: DataFrame, width: str = "1 day", late: str = "30 days") -> DataFrame:
     """``start, codec, n, n_zero`` for windows of measuring time, closed by the watermark."""
     d = distance("c_page", "c_pivot", "c_both")
     w = F.window("measured_at", width).alias("w")
-    counts = stream.withWatermark("measured_at", late).groupBy(w, "codec").agg(F.count("*").alias("n"), F.count_if(d == 0).alias("n_zero"))
+    counts = _timed(stream).withWatermark("measured_at", late).groupBy(w, "codec").agg(F.count("*").alias("n"), F.count_if(d == 0).alias("n_zero"))
     return counts.select(F.col("w.start").alias("start"), "codec", "n", "n_zero")
