@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearpress.session import cut
+
+__all__ = ["BROADCAST_ROWS", "NON_SPACE", "SPACE", "cut", "key128", "maybe_broadcast", "table", "words_expr"]
+
 #: White space in the wide sense: ASCII, next line, and the Unicode separators.
 SPACE = r"[\s\x{85}\p{Z}]"
 NON_SPACE = r"[^\s\x{85}\p{Z}]"
@@ -32,27 +33,6 @@ def words_expr(col: Column | str) -> Column:
     return F.regexp_count(c, F.lit(NON_SPACE + "+"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is set only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    have = sc._jsc.sc().getCheckpointDir()
-    if not have.isDefined():
-        if named is None:
-            if not (sc.master or "").startswith("local"):
-                raise RuntimeError("name a folder shared by all executors in spark.checkpoint.dir")
-            named = os.path.join("/tmp", f"nearpress-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(named)
-        return named
-    return named or have.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts a table whose counted rows are few; joins by shuffle beyond."""
     return F.broadcast(df) if rows <= limit else df

@@ -115,7 +115,8 @@ def _tables():
         d = unicodedata.decomposition(ch)
         if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", ch) == ch:
             a, b = (int(x, 16) for x in d.split())
-            pairs[like.get(a, a) << 21 | b] = like.get(cp, cp)
+            if a not in like and cp not in like:  # what is left after mapping is composed
+                pairs[a << 21 | b] = cp
     keys = np.array(sorted(pairs), np.int64)
     values = np.array([pairs[k] for k in keys.tolist()], np.int64)
     return start, length, np.array(flat, np.uint32), ccc, keys, values

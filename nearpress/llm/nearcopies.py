@@ -233,9 +233,12 @@ def near_copies(
     Texts are compared in their consistent form and in lower case, whole, by
     the share of distinct runs of ``run_words`` words that are in both of those
     in either.  Returns ``id, class_id, class_n`` (the class of equal forms is
-    named by its least id) and ``id_a, id_b, similarity`` of class ids.  Null
+    named by its least id) and ``id_a, id_b, similarity`` of class ids: nothing is lost,
+    as equal texts have the same links.  Null
     ids and texts and texts of fewer words than ``min_words`` or ``run_words``
-    are in neither.  Ids are taken to be unique; other columns are ignored.
+    are in neither.  Ids are taken to be unique (a row
+    given twice counts twice, and is no pair with itself); other columns are
+    ignored, empty tables give empty results.
     """
     base = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, f0 long, f1 long, sig binary, s0 long, s1 long"
@@ -270,7 +273,7 @@ def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     a = members.select(F.col("class_id").alias("ca"), F.col("id").alias("id_1"))
     b = members.select(F.col("class_id").alias("cb"), F.col("id").alias("id_2"))
     across = links.select(F.col("id_a").alias("ca"), F.col("id_b").alias("cb")).join(a, "ca").join(b, "cb")
-    return inside.unionByName(_ordered(across.select(F.col("id_1").alias("id_a"), F.col("id_2").alias("id_b"))))
+    return inside.unionByName(_ordered(across.select(F.col("id_1").alias("id_a"), F.col("id_2").alias("id_b")))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

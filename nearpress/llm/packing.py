@@ -167,7 +167,7 @@ def pack(items: DataFrame, containers: DataFrame, limit: int = OPEN_BINS) -> Dat
         # a group of FAN_IN tasks by the hash of the container's name, so that each task gets about as many
         step = cut(level.repartition(n, F.xxhash64("name")).mapInArrow(_repack(capacity, limit, n == 1), "container_kind string, name string, top string, size long"))
         hop = step.select("name", "top")
-        moved = hop if moved is None else moved.join(hop.withColumnRenamed("name", "top").withColumnRenamed("top", "next"), "top", "left").select("name", F.coalesce("next", "top").alias("top"))
+        moved = hop if moved is None else moved.join(hop.select(F.col("name").alias("top"), F.col("top").alias("next")), "top", "left").select("name", F.coalesce("next", "top").alias("top"))
         if n == 1:
             break
         level = step.select("container_kind", F.col("top").alias("name"), "size").distinct()

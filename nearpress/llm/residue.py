@@ -93,6 +93,7 @@ _FINAL = re.compile(r"[.!?…:]\W*$")
 _SAID_AGAIN = re.compile(r"^\W*(\w{1,6})(?:\W+\1){2,}\W*$", re.I)
 
 TITLE_WORDS = 7
+MESSAGE_WORDS = 20
 FILLER_WORDS = 4
 
 
@@ -109,8 +110,10 @@ def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     line = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
     sentences = pc.utf8_trim_whitespace(parts.flatten())
     there = pc.binary_length(sentences).to_numpy(zero_copy_only=False) > 0
-    kind = _matches(sentences, "(?i)" + MESSAGE.pattern) | _matches(sentences, "(?i)" + FILLER.pattern)
     words = pc.count_substring_regex(sentences, r"\p{L}+").to_numpy(zero_copy_only=False)
+    # a message is short and isn't quoted
+    said = (words <= MESSAGE_WORDS) & ~_matches(sentences, "[\"“”„«»]")
+    kind = (_matches(sentences, "(?i)" + MESSAGE.pattern) & said) | _matches(sentences, "(?i)" + FILLER.pattern)
     final = _matches(sentences, r"[.!?…:][^\p{L}\p{N}]*$")
     bare = np.flatnonzero(~kind & there & final & (words >= FILLER_WORDS))
     kind[bare] = ~_matches(sentences.take(pa.array(bare)), _FUNCTION_WORD)
