@@ -20,7 +20,7 @@ _LISTING = frozenset("search category disambiguation tag section store special u
 SIDE_HEADS = re.compile(
     r"^(?:related|most read|up next|trending now|you may also like|customers also viewed|more from this section|editor's picks|see also elsewhere on \S+|"
     r"les plus lus|à lire aussi|sur le même thème|vous aimerez aussi|meistgelesen|mehr zum thema|das könnte (?:sie|ihnen) (?:auch )?(?:freuen|gefallen|interessieren)|das könnte sie freuen|"
-    r"auch interessant|más leídas|también le puede gustar|relacionado|le puede interesar|читайте также|contents|sommaire|inhalt|contenido|índice|содержание|contenidos)\s*:?\s*$", re.I)
+    r"auch interessant|más leídas|también le puede gustar|relacionado|le puede interesar|читайте также|contents|sommaire|inhalt|contenido|índice|содержание|contenidos|сенаки|рапав|comments|commentaires|kommentare|comentarios)\s*:?\s*$", re.I)
 
 #: Wordings that are never the body's.
 AROUND = re.compile(
@@ -30,8 +30,9 @@ AROUND = re.compile(
     r"^(?:share|partager|teilen|compartir)\b(?: -|$)|^(?:tweet this|copy link|save for later|print this page|e-mail to a friend|copier le lien|imprimer|link kopieren|drucken|copiar enlace|imprimir|тахо|рено|ввод)$|^(?:тахо|рено) - |^(?:impressum|косары) \| |^\d+ \S+(?: \S+)?$|(?:\|.*){4}|^(?:\w+ )?\w+ \| (?:\w+ )?\w+(?: \||$)|^все морева|^наверх$|^косары\b|^advertisement$|^anzeige$|^publicité$|^publicidad$|^реклама$|^werbung\b|^anuncio\b|^annonce\b|^promoted by|^sponsored|"
     r"^(?:related|most read|up next|trending now|you may also like|customers also viewed|more from this section|editor's picks|see also elsewhere on \S+|les plus lus|à lire aussi|sur le même thème|meistgelesen|mehr zum thema|das könnte .{3,20}|más leídas|también le puede gustar|relacionado|читайте также): |"
     r"^(?:enter your e-mail|subscribe|join|sign me up|abonnieren|s'abonner|suscribirse)$|letter in your inbox|notre lettre|unser rundbrief|boletín|каждый день письмо|"
+    r"^[^\s:]+ [^\s:]+ ?: .*[.!?]$|^сенаки: |écrit sur .{3,60} et vit |schreibt über .{3,60} und lebt |escribe sobre .{3,60} y vive |"
     r"wrote: |^reply\b|\d+ likes$|\bhat geschrieben: |a écrit ?: |escribió: |написал: |répondre|antworten|responder|"
-    r"cookies|privacy matters|by (?:reading|staying|continuing)|\bvendors\b|partners? (?:process|keep|store)|legitimate interest|before you continue|withdraw consent|(?:revise|change) your choice|consent|"
+    r"cookies|privacy matters|by (?:reading|staying|continuing)|\bvendors\b|^we and our \d|: first!$|partners? (?:process|keep|store)|legitimate interest|before you continue|withdraw consent|(?:revise|change) your choice|consent|"
     r"^.{1,30} > .{1,40} > |"
     r"copyright|all rights reserved|terms (?:of use|&)|registered office|page served in|back to top|download our app|open licence|marks belong|names belong|logos belong|no responsibility", re.I)
 

@@ -59,7 +59,7 @@ def main() -> None:
     labels = [label(root, k, common) for root, k in train]
     scores = word_scores(train, labels)
     rows = np.concatenate([features(root, k, scores)[1] for root, k in train])
-    model = fit(rows, np.concatenate([np.array(y, float) for y in labels]), n_trees=110)
+    model = fit(rows, np.concatenate([np.array(y, float) for y in labels]), n_trees=140)
     with open(a.out, "w", encoding="utf-8") as f:
         json.dump({"trees": model.to_dict(), "scores": scores}, f, ensure_ascii=False, separators=(",", ":"))
     for name, part, offset in (("train", train[:500], 0), ("held out", held, a.pages)):

@@ -1,5 +1,3 @@
-import pytest
-
 from nearpress.llm import residue as R
 
 from ..conftest import SF
@@ -16,34 +14,35 @@ def found(spark, bodies, entries=None):
 PROSE = {100 + k: f"Title {k}\nThe {w} lies beside a garden that {w} people visited during the winter." for k, w in enumerate("alpha beta gamma delta epsilon zeta".split())}
 
 
-@pytest.mark.parametrize(
-    "body",
-    [
+MESSAGES = [
         "404 Not Found", "Some Title\nInternal server error", "Title\nYou need to enable JavaScript to run this app.", "Loading...", "Fehler 503\nBitte in 5 Minuten erneut versuchen.",
         "Title\nTest test test.", "blah blah blah.", "Tivesa mentur lortibior lorsamen vedus quaor. Quaor quaor pelummendus tivesa culniqua.", "Page introuvable La page /a/b n'existe pas ou plus. Retournez à l'accueil.",
         "Страница не найдена", "Coming soon.", "Title\r\nAccess denied\r",
-    ],
-)
-def test_messages_and_filler(spark, body):
-    assert found(spark, {1: body, **PROSE}) == {1}
+]
+
 
+def test_messages_and_filler(spark):
+    assert found(spark, {**dict(enumerate(MESSAGES)), **PROSE}) == set(range(len(MESSAGES)))
 
-@pytest.mark.parametrize(
-    "body",
-    [
+
+OTHERS = [
         None, "", "\n \n", "Just A Title", "Title\nThe words \"404 Not Found\" puzzled the authors of the study, as they wrote later in a letter.",
         "This app needs JavaScript.\nTitle\nThe portable harbour belongs to sailors who restored it for years and years.",
         "The manual writes {{ page.city }} where the garden later prints a value, and explains each step.",
-    ],
-)
-def test_not_cases(spark, body):
-    assert found(spark, {1: body, **PROSE}) == set()
+]
+
+
+def test_not_cases(spark):
+    assert found(spark, {**dict(enumerate(OTHERS)), **PROSE}) == set()
+
+
+FIELDS = ["{{name}}", "{{ page.city }}", "<%= page.title %>", "${price}", "%(page.summary)s", "__ITEM_COUNT__", "[[CITY]]", "#{section}", "@@first_name@@", "%%RELEASE_DATE%%", "{city}", "<first name>", "[insert price here]", "[Your summary]", "TODO: city", "PRICE_GOES_HERE", "{%= siteName %}"]
 
 
-@pytest.mark.parametrize("field", ["{{name}}", "{{ page.city }}", "<%= page.title %>", "${price}", "%(page.summary)s", "__ITEM_COUNT__", "[[CITY]]", "#{section}", "@@first_name@@", "%%RELEASE_DATE%%", "{city}", "<first name>", "[insert price here]", "[Your summary]", "TODO: city", "PRICE_GOES_HERE", "{%= siteName %}"])
-def test_unfilled_fields(spark, field):
-    assert found(spark, {1: f"Title\nThe {field} lies beside a garden that many people visited during the winter.", **PROSE}) == {1}
-    assert found(spark, {1: f"{field}\nThe harbour lies beside a garden that many people visited during the winter.", **PROSE}) == {1}
+def test_unfilled_fields(spark):
+    left = {k: f"Title\nThe {f} lies beside a garden that many people visited during the winter." for k, f in enumerate(FIELDS)}
+    alone = {500 + k: f"{f}\nThe harbour lies beside a garden that many people visited during the winter." for k, f in enumerate(FIELDS)}
+    assert found(spark, {**left, **alone, **PROSE}) == {*left, *alone}
 
 
 def test_frames_tell_described_fields(spark):

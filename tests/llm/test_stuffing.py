@@ -1,5 +1,3 @@
-import pytest
-
 from nearpress.llm import stuffing as S
 
 from ..conftest import SF
@@ -25,23 +23,22 @@ SPAM = [
 ]
 
 
-@pytest.mark.parametrize("text", SPAM)
-def test_spam(spark, text):
-    assert flagged(spark, [text, text.upper(), PROSE]) == {0, 1}
+def test_spam(spark):
+    texts = [*SPAM, *(t.upper() for t in SPAM)]
+    assert flagged(spark, [*texts, PROSE]) == set(range(len(texts)))
 
 
-@pytest.mark.parametrize(
-    "text",
-    [
+OTHERS = [
         PROSE, None, "", "Title Only", "Lonely",
         "Glossary\nLantern: Local printers say the lantern was replaced twice, first for its antenna, then for a festival.\nShrine: What Brigalo called a protein is rarely described as a amber festival today.",
         "We sail the long and empty sea until the light is gone.\n" * 2 + "And nobody who left the bay came back before the dawn.\n" + "We sail the long and empty sea until the light is gone.\n" * 2,
         PROSE + "\n- vineyard: ancient\n- engine: municipal\n- kettle: modest",
         "Critics of the coastal turbine argued that no academy should be auctioned without visitors. Visitors reach the coastal turbine through a valley which they mapped. The coastal turbine differs from the academy since surveyors rebuilt it.",
-    ],
-)
-def test_not_spam(spark, text):
-    assert flagged(spark, [text]) == set()
+]
+
+
+def test_not_spam(spark):
+    assert flagged(spark, OTHERS) == set()
 
 
 def test_more_than_half_counts(spark):
