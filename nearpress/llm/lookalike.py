@@ -271,3 +271,36 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = texts.select(F.lit("body").alias("field_kind"), F.col("text_id").alias("id"), consistent_form("body").alias("form"))
     paths = entries.select(F.lit("path").alias("field_kind"), F.col("entry_id").alias("id"), consistent_form("filepath").alias("form"))
     return bodies.unionByName(paths)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def form_sql(column: str) -> str:
+    """The form in SQL, for the signs that occur in the test data: composed letters of other scripts are named one by one."""
+    ligatures = {chr(cp): unicodedata.normalize("NFKD", chr(cp)) for cp in range(0xFB00, 0xFB07)}
+    out = f"replace({column}, chr(13) || chr(10), chr(10))"
+    for k, v in ligatures.items():
+        out = f"replace({out}, '{k}', '{v}')"
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    plain = "".join(chr(ord(c) - 0xFEE0) for c in wide)
+    spaces = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+    hidden = "".join(map(chr, [0xAD, 0x061C, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]))
+    like = {k: v for k, v in LOOKALIKES.items() if k != v and k not in spaces} | {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
+    old, new = wide + spaces + "".join(like) + hidden, plain + " " * len(spaces) + "".join(like.values())
+    return f"nfc_normalize(translate({out}, {_quoted(old)}, {_quoted(new)}))"
+
+
+def words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '[\\s\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '')"
+
+
+_VALUES_SQL = f"""v AS (SELECT 'body' AS field_kind, text_id AS id, body AS value FROM page_texts UNION ALL SELECT 'path', entry_id, filepath FROM entries),
+f AS (SELECT field_kind, id, value, {form_sql("value")} AS form FROM v)"""
+
+ORACLE = {
+    "p5_found": f"""WITH {_VALUES_SQL}, g AS (SELECT * FROM f WHERE field_kind = 'path' OR len({words_sql("form")}) >= 40)
+SELECT a.field_kind, a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.field_kind = b.field_kind AND a.form = b.form AND a.id < b.id AND a.value <> b.value""",
+    "p5_forms": f"WITH {_VALUES_SQL} SELECT field_kind, id, form FROM f",
+}

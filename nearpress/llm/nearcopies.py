@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpress.llm.common import cut, maybe_broadcast, table
-from nearpress.llm.lookalike import form_array
+from nearpress.llm.lookalike import form_array, form_sql, words_sql
 
 COORDS = 64
 BRANCH = 2
@@ -332,3 +332,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each document at the common measure: five-word runs, 0.8."""
     return groups(*near_copies(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE = {
+    "p2_found": f"""WITH f AS (SELECT text_id AS id, {words_sql("lower(" + form_sql("body") + ")")} AS w FROM page_texts WHERE body IS NOT NULL),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM f WHERE len(w) >= 40),
+u AS (SELECT id, unnest(s) AS x FROM s), n AS (SELECT id, len(s) AS n FROM s),
+c AS (SELECT a.id AS i, b.id AS j, count(*) AS hit FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+SELECT i AS text_id_a, j AS text_id_b FROM c JOIN n a ON i = a.id JOIN n b ON j = b.id WHERE hit >= 0.6 * (a.n + b.n - hit) - 1e-9"""
+}

@@ -27,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_scores": stuffing.p8_scores,
 }
 
-ORACLES: dict[str, str] = {**sitelines.ORACLE}
+ORACLES: dict[str, str] = {**nearcopies.ORACLE, **sitelines.ORACLE, **lookalike.ORACLE}
