@@ -194,6 +194,13 @@ def ncd_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(nxt, "text_id").select("text_id", distance.ncd("body", "other", Spec("brotli_recommended")).alias("d"))
 
 
+def html_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance by structure of each page to that of the next page id."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("html").alias("other"))
+    return p.join(nxt, "page_id").select("page_id", html.html_distance("html", "other").alias("d"))
+
+
 # pairs of pages
 
 
@@ -361,7 +368,7 @@ _NAMES = """
 url_domain_path url_decoded_name manifest_parse file_resolution first_entry page_label quality_bucket
 distance_given_sizes distance_scale measured_histogram measured_median measured_range measured_latest scatter_data optimal_opts_rank
 clean_text_basic clean_text article_content wiki_content grok_content html_structure html_strip_content
-size_zstd size_brotli size_tokenset size_cache_stats ncd_neighbours nearest_pages nearest_texts_zstd
+size_zstd size_brotli size_tokenset size_cache_stats ncd_neighbours html_distance nearest_pages nearest_texts_zstd
 matrix_tokenset triangle_violations range_first_match range_search pruned_search search_divergence search_summary
 cross_matrix_tokenset related_split related_by_topic distance_histogram group_median same_page_sweep optimal_opts
 """.split()

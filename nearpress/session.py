@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a counted table is broadcast.
@@ -51,15 +51,13 @@ def ordinal(df: DataFrame, order: list[str], group: list[str] = (), out: str = "
     ranged = cut(ranged.withColumn("__at", F.monotonically_increasing_id()))
     task = F.shiftright("__at", 33).cast("int")
     ranged = ranged.withColumn("__task", task)
-    counts = ranged.groupBy(*group, "__task").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    from pyspark.sql import Window
-
+    counts = cut(ranged.groupBy(*group, "__task").agg(F.count("*").alias("__n"), F.min("__at").alias("__first")))
     # as many rows as tasks and groups that meet
     before = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     on = F.lit(True)
     for c in group:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = ranged.alias("a").join(F.broadcast(starts.alias("b")), on & (F.col("a.__task") == F.col("b.__task")))
+    joined = ranged.alias("a").join(small(starts, counts.count()).alias("b"), on & (F.col("a.__task") == F.col("b.__task")))
     kept = [F.col(f"a.{c}") for c in df.columns]
     return joined.select(*kept, (F.col("a.__at") - F.col("b.__first") + F.col("b.__start")).cast("long").alias(out))

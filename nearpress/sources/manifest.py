@@ -62,13 +62,15 @@ def resolve(manifest: DataFrame, listing: DataFrame, prefix: Column | str = "")
     """
     start = F.lit(prefix) if isinstance(prefix, str) else prefix
     stem = url_stem("url")
-    inside = ~F.regexp_like(stem, F.lit(r"(^/)|(^|/)\.\.(/|$)"))
-    tried = [F.struct(F.lit(2 * k + d).alias("rank"), F.concat(start, stem, F.lit(s + ("/index.html" if d == 0 else ""))).alias("filepath")) for k, s in enumerate(SUFFIXES) for d in (0, 1)]
-    rows = manifest.withColumn("__row", F.monotonically_increasing_id())
-    candidates = rows.where(inside).select("__row", F.explode(F.array(*tried)).alias("t")).select("__row", "t.rank", "t.filepath")
+    inside = ~F.regexp_like("__stem", F.lit(r"(^/)|(^|/)\.\.(/|$)"))
+    tried = [F.struct(F.lit(2 * k + d).alias("rank"), F.concat("__start", "__stem", F.lit(s + ("/index.html" if d == 0 else ""))).alias("filepath")) for k, s in enumerate(SUFFIXES) for d in (0, 1)]
+    columns = manifest.columns
+    # the row travels with its candidates, so that its number is given once
+    rows = manifest.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__r"), stem.alias("__stem"), start.alias("__start"))
+    candidates = rows.where(inside).select("__row", "__r", F.explode(F.array(*tried)).alias("t")).select("__row", "__r", "t.rank", "t.filepath")
     there = candidates.join(listing.select("filepath").distinct(), "filepath", "left_semi")
-    best = there.groupBy("__row").agg(F.min_by("filepath", "rank").alias("filepath"))
-    return rows.join(best, "__row").drop("__row")
+    best = there.groupBy("__row").agg(F.min_by(F.struct("filepath", "__r"), "rank").alias("b"))
+    return best.select(*[F.col(f"b.__r.{c}").alias(c) for c in columns], F.col("b.filepath").alias("filepath"))
 
 
 def first_by_url(entries: DataFrame, *keys: str) -> DataFrame:
