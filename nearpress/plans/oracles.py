@@ -103,6 +103,8 @@ ORACLES: dict[str, str] = {
         FROM pivot_distances WHERE codec = 'brotli' GROUP BY 1, 2 ORDER BY score DESC, quality, lg_window_size LIMIT 1""",
     "clean_text_basic": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "size_tokenset": f"SELECT page_id, len({_tokens('html')}) AS c FROM pages",
+    "ncd_tokenset": f"""WITH t AS (SELECT text_id, body, {_tokens('body')} AS t FROM page_texts)
+        SELECT a.text_id, CASE WHEN a.body IS NULL OR b.body IS NULL THEN NULL ELSE {_token_distance('a.t', 'b.t')} END AS d FROM t a JOIN t b ON b.text_id = a.text_id + 1""",
     "size_cache_stats": "SELECT count(text) AS lookups, count(DISTINCT text) AS misses, count(text) - count(DISTINCT text) AS hits FROM documents",
     "matrix_tokenset": f"""WITH {_PAIRS} SELECT i, j, {_stem('r.url')} AS row_label, {_stem('c.url')} AS col_label, d
         FROM pairs JOIN pages r ON i = r.page_id JOIN pages c ON j = c.page_id""",

@@ -187,11 +187,24 @@ def size_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.cache_stats(table(spark, sf_dir, "documents"), "text")
 
 
-def ncd_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance of each body to that of the next text id, by brotli."""
+def _with_next(spark: SparkSession, sf_dir: str, codec: Spec) -> DataFrame:
     t = table(spark, sf_dir, "page_texts").select("text_id", "body")
     nxt = t.select((F.col("text_id") - 1).alias("text_id"), F.col("body").alias("other"))
-    return t.join(nxt, "text_id").select("text_id", distance.ncd("body", "other", Spec("brotli_recommended")).alias("d"))
+    return t.join(nxt, "text_id").select("text_id", distance.ncd("body", "other", codec).alias("d"))
+
+
+def ncd_brotli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of each body to that of the next text id."""
+    return _with_next(spark, sf_dir, Spec("brotli_recommended"))
+
+
+def ncd_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_next(spark, sf_dir, Spec("zstd_recommended"))
+
+
+def ncd_tokenset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the stand-in, which SQL can check."""
+    return _with_next(spark, sf_dir, Spec("tokenset"))
 
 
 def html_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +381,7 @@ _NAMES = """
 url_domain_path url_decoded_name manifest_parse file_resolution first_entry page_label quality_bucket
 distance_given_sizes distance_scale measured_histogram measured_median measured_range measured_latest scatter_data optimal_opts_rank
 clean_text_basic clean_text article_content wiki_content grok_content html_structure html_strip_content
-size_zstd size_brotli size_tokenset size_cache_stats ncd_neighbours html_distance nearest_pages nearest_texts_zstd
+size_zstd size_brotli size_tokenset size_cache_stats ncd_brotli ncd_zstd ncd_tokenset html_distance nearest_pages nearest_texts_zstd
 matrix_tokenset triangle_violations range_first_match range_search pruned_search search_divergence search_summary
 cross_matrix_tokenset related_split related_by_topic distance_histogram group_median same_page_sweep optimal_opts
 """.split()
