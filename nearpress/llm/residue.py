@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpress.llm.common import cut, maybe_broadcast, table
-from nearpress.llm.sitelines import MIN_DOCS, MIN_SHARE, occurrences
+from nearpress.llm.sitelines import MIN_DOCS, MIN_SHARE, looked_up, often_lines
 from nearpress.llm.stuffing import FUNCTION_WORDS
 
 #: Texts from which a frame that always holds a field counts as describing it.
@@ -128,8 +128,8 @@ def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def only_messages(bodies: pa.Array, strict: list, loose: list) -> list[bool]:
     """For each body whether nothing but a message or filler is left.
 
-    ``strict`` are the lines repeated on the host, ``loose`` those which come
-    back there but less often; these may be messages too.
+    ``strict`` are the lines repeated on the host, ``loose`` all which come back
+    there, if less often; those may be messages too.
     """
     parts = pc.split_pattern(bodies, "\n")
     lines = parts.flatten()
@@ -272,10 +272,11 @@ def residue(texts: DataFrame, entries: DataFrame) -> DataFrame:
     ``n_left > 0``.  Null bodies and ids and empty bodies are left out.  A text
     whose path has no entry has no repeated lines.  Ids are taken to be unique.
     """
-    back = occurrences(texts, entries, MIN_DOCS, 0.0)
-    is_strict = F.col("n_docs") >= F.col("n_texts") * MIN_SHARE - 1e-9
-    lines = back.groupBy(F.col("text_id").alias("id")).agg(
-        F.collect_set(F.when(is_strict, F.col("line_no"))).alias("strict"), F.collect_set(F.when(~is_strict, F.col("line_no"))).alias("loose")
+    often = often_lines(texts, entries, MIN_DOCS, 0.0)
+    firm = looked_up(often, MIN_DOCS, MIN_SHARE).withColumn("firm", F.lit(True))
+    known = often.select("text_id", "line_no", F.lit(False).alias("firm")).unionByName(firm)
+    lines = known.groupBy(F.col("text_id").alias("id")).agg(
+        F.collect_set(F.when(F.col("firm"), F.col("line_no"))).alias("strict"), F.collect_set("line_no").alias("loose")
     )
     base = texts.select(F.col("text_id").cast("long").alias("id"), "body").where("id is not null and body is not null")
     read = cut(base.join(lines, "id", "left").select("id", "body", "strict", "loose").mapInArrow(_read, _FOUND))

@@ -82,7 +82,7 @@ def candidate_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share
     """The lines of the host's lines that occur often enough to be repeated ones, cut."""
     often = lines.groupBy("host", "h0", "h1").agg(F.count("*").alias("n"))
     often = often.join(maybe_broadcast(hosts, hosts.count()), "host").where(_reached("n", min_docs, min_share))
-    often = cut(often.select("host", "h0", "h1", "n_texts"))
+    often = cut(often.select("host", "h0", "h1", "n_texts", "n"))
     return cut(lines.join(maybe_broadcast(often, often.count()), ["host", "h0", "h1"]))
 
 
@@ -105,8 +105,24 @@ def _bit_set(bits: str, bit: Column) -> Column:
     return F.floor(byte / F.pow(F.lit(2.0), bit % 8)).cast("int") % 2 == 1
 
 
-def occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``text_id, line_no, n_docs, n_texts`` of every repeated line, by bitmap lookup.
+def looked_up(candidates: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """``text_id, line_no`` of the candidates that are repeated lines, by bitmap lookup."""
+    candidates = candidates.where(_reached("n", min_docs, min_share))
+    repeated = cut(repeated_lines(candidates, min_docs, min_share))
+    looked = candidates.withColumn("piece", F.bitmap_bucket_number("text_id"))
+    # a bitmap has 4 KB: at most 20 MB are broadcast
+    looked = looked.join(maybe_broadcast(repeated.select("host", "h0", "h1", "piece", "bits"), repeated.count(), 5_000), ["host", "h0", "h1", "piece"])
+    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", "line_no")
+
+
+def often_lines(texts: DataFrame, entries: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """The lines of all texts which occur often enough on their host to be repeated ones."""
+    hosted = hosted_texts(texts, entries)
+    return candidate_lines(_lines(hosted), cut(host_sizes(hosted)), min_docs, min_share)
+
+
+def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``text_id, line_no`` of every repeated line, by bitmap lookup.
 
     ``texts`` has ``text_id, filepath, body``, ``entries`` has ``filepath,
     url``; other columns are ignored.  A text with null body, id or path, or
@@ -114,19 +130,7 @@ def occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS,
     count.  Rows given twice give one row; empty tables an empty result.  Lines
     are counted from 0 and parted at line feeds only.
     """
-    hosted = hosted_texts(texts, entries)
-    lines = _lines(hosted)
-    candidates = candidate_lines(lines, cut(host_sizes(hosted)), min_docs, min_share)
-    repeated = cut(repeated_lines(candidates, min_docs, min_share))
-    looked = candidates.withColumn("piece", F.bitmap_bucket_number("text_id"))
-    # a bitmap has 4 KB: at most 20 MB are broadcast
-    looked = looked.join(maybe_broadcast(repeated.drop("n_texts"), repeated.count(), 5_000), ["host", "h0", "h1", "piece"])
-    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", "line_no", "n_docs", "n_texts")
-
-
-def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``text_id, line_no`` of every repeated line; see ``occurrences``."""
-    return occurrences(texts, entries, min_docs, min_share).select("text_id", "line_no").distinct()
+    return looked_up(often_lines(texts, entries, min_docs, min_share), min_docs, min_share).distinct()
 
 
 def remove_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
