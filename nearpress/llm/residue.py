@@ -274,7 +274,7 @@ def residue(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """
     often = often_lines(texts, entries, MIN_DOCS, 0.0)
     firm = looked_up(often, MIN_DOCS, MIN_SHARE).withColumn("firm", F.lit(True))
-    known = often.select("text_id", "line_no", F.lit(False).alias("firm")).unionByName(firm)
+    known = often.select("text_id", F.col("line_no").cast("long").alias("line_no"), F.lit(False).alias("firm")).unionByName(firm)
     lines = known.groupBy(F.col("text_id").alias("id")).agg(
         F.collect_set(F.when(F.col("firm"), F.col("line_no"))).alias("strict"), F.collect_set("line_no").alias("loose")
     )

@@ -55,23 +55,22 @@ def hosted_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _lines(hosted: DataFrame) -> DataFrame:
-    """``host, text_id, line_no, h0, h1, raw`` of all lines that aren't empty.
+    """``text_id, line_no, site, h0, h1, raw`` of all lines that aren't empty.
 
-    ``h0, h1`` stand for the normal form, ``raw`` for the line as written but
-    for its case.
+    ``site`` stands for the host, ``h0, h1`` for host and normal form, ``raw``
+    for the line as written but for its case: hashes, so that no text moves.
     """
-    lines = hosted.select("host", "text_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    site = F.xxhash64("host").alias("site")
+    lines = hosted.select("text_id", site, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("norm", line_norm(F.col("line"))).where("norm <> ''")
     return lines.select(
-        "host", "text_id", F.col("line_no").cast("long").alias("line_no"),
-        F.xxhash64("norm").alias("h0"), F.xxhash64(F.lit(7), F.col("norm")).alias("h1"),
-        F.xxhash64(F.lower("line")).alias("raw"),
+        "text_id", F.col("line_no").cast("int").alias("line_no"), "site", F.xxhash64("norm", "site").alias("h0"), F.xxhash64(F.lit(7), "site", "norm").alias("h1"), F.xxhash64(F.lower("line")).alias("raw")
     )
 
 
 def host_sizes(hosted: DataFrame) -> DataFrame:
-    """``host, n_texts``: texts with a body of each host."""
-    return hosted.groupBy("host").agg(F.count("*").alias("n_texts"))
+    """``site, n_texts``: texts with a body of each host."""
+    return hosted.groupBy(F.xxhash64("host").alias("site")).agg(F.count("*").alias("n_texts"))
 
 
 def _reached(n: str, min_docs: int, min_share: float) -> Column:
@@ -79,25 +78,25 @@ def _reached(n: str, min_docs: int, min_share: float) -> Column:
 
 
 def candidate_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """The lines of the host's lines that occur often enough to be repeated ones, cut."""
-    often = lines.groupBy("host", "h0", "h1").agg(F.count("*").alias("n"))
-    often = often.join(maybe_broadcast(hosts, hosts.count()), "host").where(_reached("n", min_docs, min_share))
-    often = cut(often.select("host", "h0", "h1", "n_texts", "n"))
-    return cut(lines.join(maybe_broadcast(often, often.count()), ["host", "h0", "h1"]))
+    """The lines which occur often enough on their host to be repeated ones, cut."""
+    often = lines.groupBy("h0", "h1").agg(F.count("*").alias("n"), F.min("site").alias("site")).where(F.col("n") >= min_docs)
+    often = often.join(maybe_broadcast(hosts, hosts.count()), "site").where(_reached("n", min_docs, min_share))
+    often = cut(often.select("h0", "h1", "n_texts", "n"))
+    return cut(lines.drop("site").join(maybe_broadcast(often, often.count()), ["h0", "h1"]))
 
 
 def repeated_lines(candidates: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """``host, h0, h1, n_docs, piece, bits``: the repeated lines with their bitmaps.
+    """``h0, h1, n_docs, piece, bits``: the repeated lines with their bitmaps.
 
     A row for each piece of 32,768 ids.  The key holds the piece and the
     writing, so a hot host or line is spread by the pieces of its ids.
     """
     piece, bit = F.bitmap_bucket_number("text_id"), F.bitmap_bit_position("text_id")
-    line = ["host", "h0", "h1", "n_texts"]
+    line = ["h0", "h1", "n_texts"]
     variants = candidates.groupBy(*line, piece.alias("piece"), "raw").agg(F.bitmap_construct_agg(bit).alias("bits"))
     united = cut(variants.groupBy(*line, "piece").agg(F.bitmap_or_agg("bits").alias("bits")))
     total = united.groupBy(*line).agg(F.sum(F.bitmap_count("bits")).alias("n_docs")).where(_reached("n_docs", min_docs, min_share))
-    return united.drop("n_texts").join(total, ["host", "h0", "h1"])
+    return united.drop("n_texts").join(total, ["h0", "h1"])
 
 
 def _bit_set(bits: str, bit: Column) -> Column:
@@ -111,8 +110,8 @@ def looked_up(candidates: DataFrame, min_docs: int, min_share: float) -> DataFra
     repeated = cut(repeated_lines(candidates, min_docs, min_share))
     looked = candidates.withColumn("piece", F.bitmap_bucket_number("text_id"))
     # a bitmap has 4 KB: at most 20 MB are broadcast
-    looked = looked.join(maybe_broadcast(repeated.select("host", "h0", "h1", "piece", "bits"), repeated.count(), 5_000), ["host", "h0", "h1", "piece"])
-    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", "line_no")
+    looked = looked.join(maybe_broadcast(repeated.select("h0", "h1", "piece", "bits"), repeated.count(), 5_000), ["h0", "h1", "piece"])
+    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 def often_lines(texts: DataFrame, entries: DataFrame, min_docs: int, min_share: float) -> DataFrame:
