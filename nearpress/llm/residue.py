@@ -2,10 +2,11 @@
 
 Fields.  A field is a placeholder in one of the usual notations.  Whether it
 was left over or is written about is told by aligning texts of the same
-template: the words before and after a field are a frame, and other texts show
-what stands in that frame.  Where they have ordinary words, the frame is a slot
-and the field in it was not filled.  A frame that holds a field whenever it
-occurs, in several texts, belongs to sentences that describe fields.
+template: the words before and after a field are a frame, and other sentences
+show what stands in that frame, be it one word or many.  Where they have
+ordinary words, the frame is a slot and the field in it was not filled.  A frame
+that holds a field nearly whenever it occurs, in several distinct sentences,
+belongs to sentences that describe fields.
 
 Error pages.  The lines repeated on a host and the title are set aside; a text
 is a case if every sentence left is an access message, a request for scripts,
@@ -16,6 +17,7 @@ phrases, or by running on without a function word of any language.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,10 @@ from nearpress.llm.common import cut, maybe_broadcast, table
 from nearpress.llm.sitelines import MIN_DOCS, MIN_SHARE, looked_up, often_lines
 from nearpress.llm.stuffing import FUNCTION_WORDS
 
-#: Texts from which a frame that always holds a field counts as describing it.
-DESCRIBED_TEXTS = 3
+#: Distinct sentences with a field from which a frame can be judged, and the share
+#: of its sentences that must hold a field for it to count as describing fields.
+DESCRIBED_SENTENCES = 3
+DESCRIBED_SHARE = 0.9
 #: Bits of the filter of frames; its size is fixed, a hit is checked exactly.
 FILTER_BITS = 1 << 22
 SLICE_BYTES = 4_000_000
@@ -89,6 +93,7 @@ FILLER = re.compile(
 
 _FUNCTION_WORD = r"(?i)(?:^|[^\p{L}])(?:" + "|".join(sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})) + r"|[lds]['’]\p{L}+)(?:[^\p{L}]|$)"
 _FINAL = re.compile(r"[.!?…:]\W*$")
+_WORDY = re.compile(r"\w")
 #: A word said three times or more and nothing else.
 _SAID_AGAIN = re.compile(r"^\W*(\w{1,6})(?:\W+\1){2,}\W*$", re.I)
 
@@ -156,9 +161,8 @@ def only_messages(bodies: pa.Array, strict: list, loose: list) -> list[bool]:
     return out
 
 
-def _marks(before: str, after: str) -> tuple[int, int]:
-    """Hash of a frame, and its bit in the filter."""
-    return xxhash.xxh3_64_intdigest(before + "\n" + after) >> 1, _bit(_mark(before), _mark(after))
+def _frame(before: str, after: str) -> int:
+    return xxhash.xxh3_64_intdigest(before + "\n" + after) >> 1
 
 
 def _mark(word: str) -> int:
@@ -169,10 +173,21 @@ def _bit(before, after):
     return (before * 31 + after) % FILTER_BITS
 
 
-def fields_of(body: str) -> list[tuple[int, int, bool]]:
-    """Hash and bit of the frame of each field, and whether its sentence speaks of templates.
+def _beside(words: list[str], at: range) -> str:
+    """The next word; a sign that only stands beside the field is passed over."""
+    for k in at:
+        if _WORDY.search(words[k]) or words[k] == _TOKEN:
+            return "" if words[k] == _TOKEN else words[k]
+        if _FINAL.search(words[k]):
+            break
+    return ""
 
-    A field at the edge of its line, or beside another, has no frame: 0 and -1.
+
+def fields_of(body: str) -> list[tuple[int, int, int, int, bool]]:
+    """Frame of each field, marks of its words, hash of its sentence, and whether that speaks of templates.
+
+    A field at the edge of its line, at the end of its sentence, or beside
+    another, has no frame: 0, and -1 for the words.
     """
     if not _MAY_HAVE.search(body):
         return []
@@ -184,16 +199,18 @@ def fields_of(body: str) -> list[tuple[int, int, bool]]:
         for i, w in enumerate(words):
             if w != _TOKEN:
                 continue
-            before, after = (words[i - 1] if i else ""), (words[i + 1] if i + 1 < len(words) else "")
-            frame = _marks(before, after) if before and after and _TOKEN not in (before, after) else (0, -1)
+            before, after = _beside(words, range(i - 1, -1, -1)), _beside(words, range(i + 1, len(words)))
+            frame = (_frame(before, after), _mark(before), _mark(after)) if before and after else (0, -1, -1)
             first = next((k + 1 for k in range(i - 1, -1, -1) if _FINAL.search(words[k])), 0)
             last = next((k for k in range(i + 1, len(words)) if _FINAL.search(words[k])), len(words))
             sentence = words[first : last + 1]
-            out.append((*frame, sentence.count(_TOKEN) == 1 and bool(DESCRIBES.search(" ".join(sentence)))))
+            said = " ".join(sentence)
+            out.append((*frame, xxhash.xxh3_64_intdigest(said) >> 1, sentence.count(_TOKEN) == 1 and bool(DESCRIBES.search(said))))
     return out
 
 
-_FOUND = "id long, only boolean, frames array<long>, bits array<long>, tells array<boolean>"
+_FIELD_TYPE = pa.struct([("frame", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("sentence", pa.int64()), ("tells", pa.bool_())])
+_FOUND = "id long, only boolean, fields array<struct<frame: long, before: long, after: long, sentence: long, tells: boolean>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,61 +224,121 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], []]
     ids, strict, loose = (batch.column(k).to_pylist() for k in (0, 2, 3))
     bodies = batch.column(1).cast(pa.string())
     may_have = _matches(bodies, _MAY_HAVE.pattern)
     for k, stub in enumerate(only_messages(bodies, strict, loose)):
         fields = fields_of(bodies[k].as_py()) if may_have[k] else []
         if stub or fields:
-            for column, value in zip(out, (ids[k], stub, [f[0] for f in fields], [f[1] for f in fields], [f[2] for f in fields])):
+            for column, value in zip(out, (ids[k], stub, [dict(zip(_FIELD_TYPE.names, f)) for f in fields])):
                 column.append(value)
-    types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "only", "frames", "bits", "tells"])
+    types = [pa.int64(), pa.bool_(), pa.list_(_FIELD_TYPE)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "only", "fields"])
 
 
-def _word_frames(filter_bytes: bytes):
-    """Frames of ordinary words which pass the filter, each once for a slice."""
+def _word_frames(filters: dict[str, bytes]):
+    """Frames filled by ordinary words which pass the filters, with the hashes of their sentences."""
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may_be = np.unpackbits(np.frombuffer(filter_bytes, np.uint8), bitorder="little").astype(bool)
+        bits = {k: np.unpackbits(np.frombuffer(zlib.decompress(v), np.uint8), bitorder="little").astype(bool) for k, v in filters.items()}
+        before, after = (bits.pop(k, np.zeros(FILTER_BITS, bool)) for k in ("before", "after"))
+        level = np.full(FILTER_BITS, -1, np.int8)
+        for k in sorted(bits, key=int):
+            level[bits[k]] = int(k)
         for batch in batches:
             values = batch.column(0).cast(pa.string())
             size = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
             cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), len(values)]
             for a, b in zip(cuts, cuts[1:]):
                 if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array(_frames_in(values.slice(a, b - a), may_be), pa.int64())], names=["frame"])
+                    frames, sentences = _fills_in(values.slice(a, b - a), before, after, level)
+                    yield pa.RecordBatch.from_arrays([pa.array(frames, pa.int64()), pa.array(sentences, pa.int64())], names=["frame", "sentence"])
 
     return op
 
 
-def _frames_in(values: pa.Array, may_be: np.ndarray) -> list[int]:
+def _fills_in(values: pa.Array, before: np.ndarray, after: np.ndarray, level: np.ndarray) -> tuple[list[int], list[int]]:
+    """Frames and sentences in which ordinary words of one sentence, however many, fill the frame.
+
+    ``before`` and ``after`` tell the marks of the words of frames; ``level`` has
+    by the bit of a frame the power of two up to which its sentences are
+    counted.  Of more, those of least hash are kept, so that the union over all
+    slices holds that many too.
+    """
     lines = pc.list_flatten(pc.split_pattern(values, "\n"))
     split = pc.utf8_split_whitespace(pc.utf8_lower(lines))
     line, words = pc.list_parent_indices(split), split.flatten()
     there = pc.not_equal(pc.binary_length(words), 0)
-    words, line = words.filter(there), line.filter(there).to_numpy(zero_copy_only=False)
-    coded = words.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(codes) < 3:
-        return []
+    coded = words.filter(there).dictionary_encode()
+    codes, line = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), line.filter(there).to_numpy(zero_copy_only=False)
     names = coded.dictionary.to_pylist()
-    plain = np.array([not _MAY_HAVE.search(w.upper() if "todo" in w else w) and "$" not in w and "#" not in w for w in names])
-    inside = (line[2:] == line[:-2]) & plain[codes[1:-1]]
-    pairs = np.unique(codes[:-2][inside] << 32 | codes[2:][inside])
+    final = np.array([bool(_FINAL.search(w)) for w in names], bool)
+    kept = (np.array([bool(_WORDY.search(w)) for w in names], bool) | final)[codes]
+    codes, line = codes[kept], line[kept]
+    n = len(codes)
+    if n < 3:
+        return [], []
+    fills = np.array([not _MAY_HAVE.search(w.upper() if "todo" in w else w) and "$" not in w and "#" not in w for w in names]) & ~final
     marks = np.array([_mark(w) for w in names], np.int64)
-    hits = pairs[may_be[_bit(marks[pairs >> 32], marks[pairs & 0xFFFFFFFF])]]
-    return [_marks(names[p >> 32], names[p & 0xFFFFFFFF])[0] for p in hits.tolist()]
+    starts = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | final[codes[:-1]])))
+    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    place = (np.arange(n) - starts[sentence]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
+    said = (np.add.reduceat(hashes[codes] * place, starts) >> np.uint64(1)).astype(np.int64)
+    opens, closes, fills = before[marks][codes], after[marks][codes], fills[codes]
+    at = np.flatnonzero(opens)
+    # from the next occurrence of the word before on, the frame begins there
+    order = at[np.argsort(codes[at], kind="stable")]
+    stop = np.full(n, n, np.int64)
+    again = np.flatnonzero(codes[order[1:]] == codes[order[:-1]])
+    stop[order[again]] = order[again + 1] + 1
+    to = at + 1
+    found: list[np.ndarray] = []
+    while len(at):
+        alive = to < np.minimum(n - 1, stop[at])
+        at, to = at[alive], to[alive]
+        alive = fills[to] & (line[to] == line[at])
+        at, to = at[alive], to[alive] + 1
+        hit = closes[to] & (line[to] == line[at])
+        if hit.any():
+            pair = codes[at[hit]] << 32 | codes[to[hit]]
+            may_be = level[_bit(marks[pair >> 32], marks[pair & 0xFFFFFFFF])] >= 0
+            found.append(np.stack([pair[may_be], said[sentence[at[hit][may_be] + 1]]]))
+    if not found:
+        return [], []
+    pair, said = np.unique(np.concatenate(found, axis=1), axis=1)
+    first = np.concatenate(([True], pair[1:] != pair[:-1]))
+    rank = np.arange(len(pair)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    least = rank < np.left_shift(1, level[_bit(marks[pair >> 32], marks[pair & 0xFFFFFFFF])].astype(np.int64))
+    return [_frame(names[p >> 32], names[p & 0xFFFFFFFF]) for p in pair[least].tolist()], said[least].tolist()
+
+
+def _filters(frames: DataFrame) -> dict[str, bytes]:
+    """Bitmaps of the words before and after, and of the frames of each level: of fixed size, whatever the input."""
+    bit = F.pmod(F.col("before") * 31 + F.col("after"), F.lit(FILTER_BITS))
+    marked = F.array(*(F.struct(kind.alias("kind"), (at + 1).alias("bit")) for kind, at in ((F.lit("before"), F.col("before")), (F.lit("after"), F.col("after")), (F.col("level").cast("string"), bit))))
+    marked = frames.select(F.explode(marked).alias("m")).select("m.kind", "m.bit")
+    pieces = marked.select("kind", F.bitmap_bucket_number("bit").alias("piece"), F.bitmap_bit_position("bit").alias("at"))
+    rows = pieces.groupBy("kind", "piece").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    size = 4_096
+    out = {r.kind: bytearray(FILTER_BITS // 8) for r in rows}
+    for r in rows:
+        out[r.kind][(r.piece - 1) * size : r.piece * size] = bytes(r.bits)
+    return {k: zlib.compress(bytes(v), 1) for k, v in out.items()}
 
 
-def _filter(frames: DataFrame) -> bytes:
-    """The filter of all frames: a bitmap of fixed size, whatever the input."""
-    bit = F.col("bit") + 1
-    pieces = frames.select(F.bitmap_bucket_number(bit).alias("piece"), F.bitmap_bit_position(bit).alias("at"))
-    rows = {r.piece: bytes(r.bits) for r in pieces.groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits")).collect()}
-    size = 4_096
-    return b"".join(rows.get(k, bytes(size)) for k in range(1, FILTER_BITS // (8 * size) + 1))
+def _described(fields: DataFrame, base: DataFrame) -> DataFrame:
+    """``frame, described``: the frames of fields that belong to sentences about fields."""
+    framed = fields.where("before >= 0").groupBy("frame", "before", "after")
+    framed = framed.agg(F.countDistinct("sentence").alias("n"), F.every("tells").alias("all_tell")).where((F.col("n") >= DESCRIBED_SENTENCES) & ~F.col("all_tell"))
+    most = F.floor(F.col("n") * (1 - DESCRIBED_SHARE) / DESCRIBED_SHARE + 1e-9)
+    # one sentence beyond the most that are allowed has to be counted
+    framed = cut(framed.select("frame", "before", "after", most.alias("most"), F.ceil(F.log2(most + 1)).alias("level")))
+    in_words = base.select("body").mapInArrow(_word_frames(_filters(framed)), "frame long, sentence long")
+    in_words = in_words.distinct().groupBy("frame").agg(F.count("*").alias("n_filled"))
+    seen = framed.select("frame", "most").join(in_words, "frame", "left")
+    return cut(seen.select("frame", (F.coalesce("n_filled", F.lit(0)) <= F.col("most")).alias("described")))
 
 
 def residue(texts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -280,15 +357,11 @@ def residue(texts: DataFrame, entries: DataFrame) -> DataFrame:
     )
     base = texts.select(F.col("text_id").cast("long").alias("id"), "body").where("id is not null and body is not null")
     read = cut(base.join(lines, "id", "left").select("id", "body", "strict", "loose").mapInArrow(_read, _FOUND))
-    fields = read.select("id", F.explode(F.arrays_zip("frames", "bits", "tells")).alias("f"))
-    fields = fields.select("id", F.col("f.frames").alias("frame"), F.col("f.bits").alias("bit"), F.col("f.tells").alias("tells"))
-    framed = fields.where("bit >= 0")
-    in_words = base.select("body").mapInArrow(_word_frames(_filter(framed)), "frame long").distinct().withColumn("slot", F.lit(True))
-    seen = framed.groupBy("frame").agg(F.countDistinct("id").alias("n_texts")).join(in_words, "frame", "left")
-    seen = cut(seen.select("frame", (F.col("slot").isNull() & (F.col("n_texts") >= DESCRIBED_TEXTS)).alias("described")))
+    fields = read.select("id", F.explode("fields").alias("f")).select("id", "f.*")
+    seen = _described(fields, base)
     judged = fields.join(maybe_broadcast(seen, seen.count()), "frame", "left")
     left = judged.where(~F.col("tells") & ~F.coalesce("described", F.lit(False))).groupBy("id").agg(F.count("*").alias("n_left"))
-    out = read.select("id", F.col("only").alias("only_message"), F.size("frames").alias("n_fields")).join(left, "id", "left")
+    out = read.select("id", F.col("only").alias("only_message"), F.size("fields").alias("n_fields")).join(left, "id", "left")
     return out.fillna(0, ["n_left"])
 
 

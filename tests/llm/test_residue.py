@@ -53,6 +53,31 @@ def test_frames_tell_described_fields(spark):
     assert found(spark, {0: bodies[0]}) == {0}
 
 
+def test_frames_with_fills_of_several_words_are_slots(spark):
+    left = {k: f"Visitors reach {f} through a valley that the {w} mapped." for k, (f, w) in enumerate([("{{a}}", "x"), ("${b}", "y"), ("@@c@@", "z")])}
+    filled = {10 + k: f"Visitors reach {name} through a valley that many people mapped." for k, name in enumerate(["Dunbo Terrace", "the old and very quiet Harbour of Elroth"])}
+    assert found(spark, {**left, 10: filled[10]}) == found(spark, {**left, 11: filled[11]}) == set(left)
+    signs = {k: b.replace(" through", ", through") for k, b in left.items()}
+    assert found(spark, {**signs, 10: filled[10].replace(" through", ", through")}) == set(signs)
+
+
+def test_frames_count_distinct_sentences_and_shares(spark):
+    copies = {k: "Her pages print {{a}} where the wall later gives a value." for k in range(4)}
+    assert found(spark, copies) == set(copies)
+    told = {k: f"Her pages print {{{{a{k}}}}} where the wall number {k} later gives a value." for k in range(20)}
+    plain = {100 + k: f"Her pages print the colour where wall {k} stands." for k in range(3)}
+    assert found(spark, {**told, 100: plain[100], 101: plain[101]}) == set()
+    assert found(spark, {**told, **plain}) == set(told)
+    # copies of an ordinary sentence are one
+    assert found(spark, {**told, **{200 + k: plain[100] for k in range(9)}}) == set()
+
+
+def test_fills_end_with_the_sentence(spark):
+    told = {k: f"Her pages print {f} where the {w} later gives a value." for k, (f, w) in enumerate([("{{a}}", "x"), ("${b}", "y"), ("@@c@@", "z")])}
+    assert found(spark, {**told, 9: "The pages print the colour. Nobody knows where the wall stands."}) == set()
+    assert found(spark, {**told, 9: "print print print print where the wall stands", 10: "print " * 50_000 + "where it stands"}) == set(told)
+
+
 def test_lines_of_the_site_are_set_aside(spark):
     bodies = {k: f"Shared by the site today\nThe {w} lies beside a garden that people visited in {w}." for k, w in enumerate("a b c d e f".split())}
     bodies[50] = "Shared by the site today\nTitle Here\nService temporarily unavailable"
