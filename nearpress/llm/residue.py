@@ -99,6 +99,10 @@ _SAID_AGAIN = re.compile(r"^\W*(\w{1,6})(?:\W+\1){2,}\W*$", re.I)
 
 TITLE_WORDS = 7
 MESSAGE_WORDS = 20
+#: Share of a host's texts from which a line is a rare line of the site, and words
+#: of such lines up to which they are set aside in a text.
+RARE_SHARE = 0.01
+RARE_WORDS = 20
 FILLER_WORDS = 4
 
 
@@ -130,28 +134,35 @@ def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_kinds, title
 
 
-def only_messages(bodies: pa.Array, strict: list, loose: list) -> list[bool]:
+def only_messages(bodies: pa.Array, repeated: list, rare: list) -> list[bool]:
     """For each body whether nothing but a message or filler is left.
 
-    ``strict`` are the lines repeated on the host, ``loose`` all which come back
-    there, if less often; those may be messages too.
+    ``repeated`` are the numbers of the lines repeated on the host, ``rare`` also
+    those which come back in fewer of its texts; these may be messages too, and
+    are content where they have more than ``RARE_WORDS`` words together, as the
+    lines of copied texts have.
     """
     parts = pc.split_pattern(bodies, "\n")
     lines = parts.flatten()
     kinds, title = line_kinds(lines)
     blank = pc.binary_length(pc.utf8_trim_whitespace(lines)).to_numpy(zero_copy_only=False) == 0
+    n_words = pc.count_substring_regex(lines, r"\S+").to_numpy(zero_copy_only=False)
     ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
     out, at = [], 0
     for k, end in enumerate(ends.tolist()):
-        firm, soft = set(strict[k] or ()), set(loose[k] or ())
-        titles, said, content = 0, False, False
+        aside, seldom = set(repeated[k] or ()), set(rare[k] or ())
+        titles, said, content, spent = 0, False, False, 0
         for i in range(at, end):
-            no = i - at
-            if blank[i] or no in firm:
+            if blank[i] or i - at in aside:
                 continue
             if kinds[i]:
                 said = True
-            elif no not in soft:
+            elif i - at in seldom:
+                spent += n_words[i]
+                if spent > RARE_WORDS:
+                    content = True
+                    break
+            else:
                 if titles or not title[i]:
                     content = True
                     break
@@ -225,10 +236,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
     out: list[list] = [[], [], []]
-    ids, strict, loose = (batch.column(k).to_pylist() for k in (0, 2, 3))
+    ids, repeated, rare = (batch.column(k).to_pylist() for k in (0, 2, 3))
     bodies = batch.column(1).cast(pa.string())
     may_have = _matches(bodies, _MAY_HAVE.pattern)
-    for k, stub in enumerate(only_messages(bodies, strict, loose)):
+    for k, stub in enumerate(only_messages(bodies, repeated, rare)):
         fields = fields_of(bodies[k].as_py()) if may_have[k] else []
         if stub or fields:
             for column, value in zip(out, (ids[k], stub, [dict(zip(_FIELD_TYPE.names, f)) for f in fields])):
@@ -349,14 +360,13 @@ def residue(texts: DataFrame, entries: DataFrame) -> DataFrame:
     ``n_left > 0``.  Null bodies and ids and empty bodies are left out.  A text
     whose path has no entry has no repeated lines.  Ids are taken to be unique.
     """
-    often = often_lines(texts, entries, MIN_DOCS, 0.0)
-    firm = looked_up(often, MIN_DOCS, MIN_SHARE).withColumn("firm", F.lit(True))
-    known = often.select("text_id", F.col("line_no").cast("long").alias("line_no"), F.lit(False).alias("firm")).unionByName(firm)
-    lines = known.groupBy(F.col("text_id").alias("id")).agg(
-        F.collect_set(F.when(F.col("firm"), F.col("line_no"))).alias("strict"), F.collect_set("line_no").alias("loose")
+    often = often_lines(texts, entries, MIN_DOCS, RARE_SHARE)
+    repeated, rare = (looked_up(often, MIN_DOCS, share).withColumn("repeated", F.lit(share == MIN_SHARE)) for share in (MIN_SHARE, RARE_SHARE))
+    lines = repeated.unionByName(rare).groupBy(F.col("text_id").alias("id")).agg(
+        F.collect_set(F.when(F.col("repeated"), F.col("line_no"))).alias("repeated"), F.collect_set("line_no").alias("rare")
     )
     base = texts.select(F.col("text_id").cast("long").alias("id"), "body").where("id is not null and body is not null")
-    read = cut(base.join(lines, "id", "left").select("id", "body", "strict", "loose").mapInArrow(_read, _FOUND))
+    read = cut(base.join(lines, "id", "left").select("id", "body", "repeated", "rare").mapInArrow(_read, _FOUND))
     fields = read.select("id", F.explode("fields").alias("f")).select("id", "f.*")
     seen = _described(fields, base)
     judged = fields.join(maybe_broadcast(seen, seen.count()), "frame", "left")

@@ -85,6 +85,17 @@ def test_lines_of_the_site_are_set_aside(spark):
     assert found(spark, {50: "Shared by the site today.\nTitle\nService temporarily unavailable"}) == set()
 
 
+def test_copied_and_refrained_content_is_not_set_aside(spark):
+    """Lines of copied texts below the share of repeated ones, and lines said again in one text."""
+    prose = "The old harbour belongs to sailors who restored it for many years, and the town thanks them for it every winter."
+    others = {1000 + k: f"Title\nThe lantern number {'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]} lies beside a garden that people visited." for k in range(96)}
+    copies = {k: f"Title {w}\n{prose}\nThe other bank has mills and a road.\nThis site needs JavaScript." for k, w in enumerate("mills farms ponds walls barns".split())}
+    refrain = {50: "\n".join(["We sail the long and empty sea until the light is gone."] * 5 + ["This site needs JavaScript."])}
+    few = {60 + k: f"Support the writers of the site\nThe {w} stands beside a field that nobody sold." for k, w in enumerate("inn mill barn wall".split())}
+    stub = {70: "Support the writers of the site\nTitle Here\nService temporarily unavailable\n"}
+    assert found(spark, {**others, **copies, **refrain, **few, **stub}) == {70}
+
+
 def test_edges(spark):
     assert found(spark, {}, []) == set()
     assert found(spark, {1: "404 Not Found"}, []) == {1}
