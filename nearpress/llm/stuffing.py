@@ -6,6 +6,11 @@ back within the window counts as recurring, and the share of recurring words
 is the autocorrelation of the text summed over the lags.  Prose comes back to
 its subject about once a sentence; key words come back every few words.
 
+Key words dressed up as longer sentences come back evenly over the whole text:
+the gaps between the occurrences of a content word vary little, or the text
+equals itself at one lag of up to some tens of words, again and again.  Words
+found by either count as recurring too.
+
 A segment is stuffing if most of its content words recur, or if it is a list
 of names and nouns with next to no function words.  A text is flagged if more
 than half of its words stand in such segments.  Everything is worked out in
@@ -30,6 +35,14 @@ from nearpress.llm.common import table
 LAGS = 6
 #: Share of recurring words from which a segment is stuffing.
 RECURRING = 0.4
+#: Lags (about the length of a long sentence; a paragraph said again isn't key words) up to which a text is held against itself for even repetition, the share of
+#: its content words that must equal the one a lag on, and how many lags of them.
+LONG_LAGS = 30
+SAME_SHARE = 0.6
+SAME_TIMES = 5
+#: Gaps of a word from which they can be judged, and the deviation by their mean up to which they are even.
+EVEN_GAPS = 6
+EVEN_DEVIATION = 0.35
 #: Share of function words below which a segment is a list.
 FUNCTION_SHARE = 0.1
 #: Share of a text's words, and number of words, from which it is flagged.
@@ -73,6 +86,41 @@ def _recurring(words: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.nd
     return out
 
 
+def _even_gaps(words: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Content words whose occurrences over the whole text stand at even gaps."""
+    out = np.zeros(len(words), bool)
+    at = np.flatnonzero(content)
+    if not len(at):
+        return out
+    key = doc[at] << 32 | words[at]
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    group = np.cumsum(new) - 1
+    gaps, of = np.diff(at)[~new[1:]].astype(float), group[1:][~new[1:]]
+    n = np.bincount(of, minlength=group[-1] + 1)
+    mean = np.bincount(of, weights=gaps, minlength=len(n)) / np.maximum(n, 1)
+    spread = np.bincount(of, weights=(gaps - mean[of]) ** 2, minlength=len(n)) / np.maximum(n, 1)
+    even = (n >= EVEN_GAPS) & (mean <= LONG_LAGS) & (np.sqrt(spread) <= EVEN_DEVIATION * mean)
+    out[at] = even[group]
+    return out
+
+
+def _same_again(words: np.ndarray, content: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Content words of texts which equal themselves at one lag beyond the window, at that lag."""
+    out = np.zeros(len(words), bool)
+    n_content = np.bincount(doc[content], minlength=n_docs)
+    for lag in range(LAGS + 1, min(LONG_LAGS, len(words) - 1) + 1):
+        at = np.flatnonzero((words[lag:] == words[:-lag]) & (doc[lag:] == doc[:-lag]) & content[lag:])
+        n = np.bincount(doc[at], minlength=n_docs)
+        # of a lag only some words are content: the same share of it is asked for
+        whole = np.bincount(doc, minlength=n_docs)
+        again = (n >= SAME_SHARE * n_content) & (n * whole >= SAME_TIMES * lag * n_content) & (n > 0)
+        at = at[again[doc[at]]]
+        out[at] = out[at + lag] = True
+    return out
+
+
 def stuffed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of each text, and how many of them stand in stuffing."""
     cut = [segments(t) for t in texts]
@@ -94,12 +142,14 @@ def stuffed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc_of = np.repeat(np.arange(len(texts)), n_segments)
     doc = doc_of[segment]
     back = _recurring(codes, ~function, doc)
+    evenly = back | _even_gaps(codes.astype(np.int64), ~function, doc) | _same_again(codes, ~function, doc, len(texts))
     n = len(flat)
     count = np.bincount(segment, minlength=n)
     functions = np.bincount(segment[function], minlength=n)
     recurs = np.bincount(segment[back], minlength=n)
+    evens = np.bincount(segment[evenly], minlength=n)
     content = np.maximum(count - functions, 1)
-    bad = (recurs >= RECURRING * count) | (recurs >= 0.6 * content) & (recurs >= 2) | (functions < FUNCTION_SHARE * count)
+    bad = (recurs >= RECURRING * count) | (evens >= 0.6 * content) & (evens >= 2) | (functions < FUNCTION_SHARE * count)
     total = np.bincount(doc_of, weights=count, minlength=len(texts)).astype(np.int64)
     return total, np.bincount(doc_of, weights=count * bad, minlength=len(texts)).astype(np.int64)
 

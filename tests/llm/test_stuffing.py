@@ -46,6 +46,18 @@ def test_more_than_half_counts(spark):
     assert flagged(spark, [PROSE * 3 + "\n" + keys, PROSE + "\n" + keys * 12]) == {1}
 
 
+def test_even_repetition_in_long_sentences():
+    flights = "Get cheap flights to Rome from us in one click. "
+    twice = "With a cheap fare to the city you can book the cheap room in Elba at once. "
+    varied = "".join(f"Get cheap flights to {x} from us in one {y} click. " for x, y in zip("Rome Elba Oslo Bonn Lyon Kyiv Cork Bari Nice Graz".split(), "fast easy safe good calm neat free kind warm cool".split()))
+    song = "".join(f"{v}\nWe sail the long and empty sea until the light is gone.\n" for v in [
+        "Nobody who left the bay came back before the dawn.", "My father built a boat of oak and painted it in green.", "The lantern on the northern rock was lit by older hands.",
+        "They sold the nets and mended ropes beside the harbour wall.", "A letter came from distant shores when winter was near."])
+    total, bad = S.stuffed([flights * 50, twice * 30, varied, song, PROSE * 2])
+    assert (bad[:3] == total[:3]).all()
+    assert (bad[3:] * 2 <= total[3:]).all()
+
+
 def test_slices_and_long_texts(spark, monkeypatch):
     long = "public choir offer | " * 60_000
     assert flagged(spark, [long, PROSE * 5_000]) == {0}
