@@ -54,7 +54,7 @@ LOOKALIKES = {
 }
 
 #: Compatibility forms which look like what they stand for.
-SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
+SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>")
 
 #: Code points a chunk may hold; bounds the memory of the flat arrays.
 CHUNK_CODE_POINTS = 1_000_000
@@ -160,6 +160,51 @@ def _compose(cps: np.ndarray, text: np.ndarray, ccc_of: np.ndarray, keys, values
     return cps, keep
 
 
+def _without_returns(cps: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A mask without the carriage returns right before a line feed, which show nothing.
+
+    Looked for among what is left of a text, so that a hidden sign between
+    makes no difference.
+    """
+    shown = np.ones(len(cps), bool)
+    cr = cps == 13
+    if cr.any():
+        at = np.where(cr, len(cps), np.arange(len(cps)))
+        after = np.minimum.accumulate(at[::-1])[::-1]  # the next sign that is no carriage return
+        i = np.flatnonzero(cr & (after < len(cps)))
+        shown[i[(cps[after[i]] == 10) & (text[after[i]] == text[i])]] = False
+    return shown
+
+
+#: First code points and numbers of the parts of Hangul syllables, which are composed by rule.
+_SYLLABLES, _LEADS, _VOWELS, _TAILS = (0xAC00, 11_172), (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
+def _compose_hangul(cps: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the parts of Hangul syllables; returns the code points and a mask of those left."""
+    keep = np.ones(len(cps), bool)
+
+    def parts(of: tuple[int, int], first: int = 0) -> np.ndarray:
+        return (cps >= of[0] + first) & (cps < of[0] + of[1])
+
+    vowel, tail = parts(_VOWELS), parts(_TAILS, 1)
+    if not (vowel.any() or tail.any()):
+        return cps, keep
+    same = np.concatenate(([False], text[1:] == text[:-1]))
+    v = np.flatnonzero(vowel & same)
+    v = v[parts(_LEADS)[v - 1]]
+    cps[v - 1] = _SYLLABLES[0] + ((cps[v - 1] - _LEADS[0]) * _VOWELS[1] + (cps[v] - _VOWELS[0])) * _TAILS[1]
+    keep[v] = False
+    # the sign a tail joins: the one before, or before the vowel that was just joined
+    t = np.flatnonzero(tail & same)
+    base = np.where(keep[t - 1], t - 1, t - 2)
+    open_ = parts(_SYLLABLES)[base] & ((cps[base] - _SYLLABLES[0]) % _TAILS[1] == 0)
+    t, base = t[open_], base[open_]
+    cps[base] += cps[t] - _TAILS[0]
+    keep[t] = False
+    return cps, keep
+
+
 def _form_chunk(values: pa.Array) -> pa.Array:
     start, length, flat, ccc_of, keys, composed = _tables()
     sizes = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -167,10 +212,6 @@ def _form_chunk(values: pa.Array) -> pa.Array:
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     reps = length[cps].astype(np.int64)
-    # a carriage return before a line feed shows nothing
-    cr = np.flatnonzero(cps == 13)
-    cr = cr[cr + 1 < len(cps)]
-    reps[cr[(cps[cr + 1] == 10) & (text[cr + 1] == text[cr])]] = 0
     source = start[cps]
     if (reps != 1).any() or (source >= 0).any():
         text = np.repeat(text, reps)
@@ -180,8 +221,12 @@ def _form_chunk(values: pa.Array) -> pa.Array:
         cps = np.where(source >= 0, flat[np.maximum(source, 0) + np.where(source >= 0, within, 0)], np.repeat(cps, reps))
     else:
         cps = cps.copy()
+    shown = _without_returns(cps, text)
+    cps, text = cps[shown], text[shown]
     cps, keep = _compose(cps, text, ccc_of, keys, composed)
     cps, text = cps[keep], text[keep]
+    cps, keep = _compose_hangul(cps, text)
+    cps, text = cps[keep], text[keep]
     wide = np.ones(len(cps), np.int64)
     for edge in (0x80, 0x800, 0x10000):
         wide += cps >= edge
