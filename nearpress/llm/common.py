@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearpress.session import cut
 
-__all__ = ["BROADCAST_ROWS", "NON_SPACE", "SPACE", "cut", "key128", "maybe_broadcast", "table", "words_expr"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "NON_SPACE", "SPACE", "cut", "key128", "maybe_broadcast", "table", "words_expr"]
 
 #: White space in the wide sense: ASCII, next line, and the Unicode separators.
 SPACE = r"[\s\x{85}\p{Z}]"
@@ -15,6 +15,8 @@ NON_SPACE = r"[^\s\x{85}\p{Z}]"
 
 #: Rows up to which a derived table may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a table whose bytes are summed is broadcast.
+BROADCAST_BYTES = 20 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

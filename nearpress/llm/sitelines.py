@@ -1,16 +1,21 @@
 """Problem 3: lines repeated across the documents of one site.
 
-Per host and per line as written (lower case, white space and digits as they
-are) the documents are held as bitmaps, cut into pieces of 32,768 ids so that
-an empty piece costs nothing; the bitmaps of the variants of a line are united,
-their exact cardinality is held against the thresholds, and a line is deleted
-from a document where its bitmap has the document's bit.
-
-Most lines occur once.  A map-side combined count of (host, line) drops the
-lines which can't reach the least number of documents before any bitmap is
-built; as a count of occurrences is never below the count of documents, none
-is lost.  What is left per host is bounded by the thresholds: a host can't
-have more than (lines a document) / (least share) repeated lines.
+The lines of all texts are hashed once: by their normal form, and as written
+but for their case.  A map-side combined count drops the lines that occur too
+seldom over all texts to be repeated on any host; as there are never fewer
+occurrences than documents, none is lost.  Only what is left meets the hosts,
+so no text is shuffled.
+
+The texts of a host are numbered from 0, and a line's documents are held as
+bitmaps over these numbers, in pieces of 32,768.  Within a host the numbers are
+dense; a piece is kept from its first to its last byte in use, so a small host
+or a line of few documents takes a few bytes, whatever the text ids are.  The
+bitmaps of the writings of a line are united, their exact cardinality is held
+against the thresholds, and a line is deleted from a document where its bitmap
+has the document's bit.
+
+What is left per host is bounded by the thresholds: a host can't have more than
+(lines a document) / (least share) repeated lines.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpress.llm.common import SPACE, cut, maybe_broadcast, table
+from nearpress.llm.common import BROADCAST_BYTES, SPACE, cut, maybe_broadcast, table
+from nearpress.session import ordinal
 
 #: A line is repeated from so many documents of a host on, and from that share of them on.
 MIN_DOCS = 5
@@ -48,76 +54,96 @@ def line_norm(line: Column) -> Column:
     return F.regexp_replace(spaced, "[0-9]+", "0")
 
 
-def hosted_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """``host, text_id, body`` of the texts with a body whose file has a host."""
-    t = texts.select("filepath", F.col("text_id").cast("long").alias("text_id"), "body").where("body is not null and text_id is not null")
-    return t.join(file_hosts(entries), "filepath").select("host", "text_id", "body")
+def hashed_lines(texts: DataFrame) -> DataFrame:
+    """``text_id, line_no, h0, h1, raw`` of all lines that aren't empty, cut.
 
-
-def _lines(hosted: DataFrame) -> DataFrame:
-    """``text_id, line_no, site, h0, h1, raw`` of all lines that aren't empty.
-
-    ``site`` stands for the host, ``h0, h1`` for host and normal form, ``raw``
-    for the line as written but for its case: hashes, so that no text moves.
+    ``h0, h1`` stand for the normal form, ``raw`` for the line as written but
+    for its case: hashes, so that no text moves.
     """
-    site = F.xxhash64("host").alias("site")
-    lines = hosted.select("text_id", site, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    base = texts.select(F.col("text_id").cast("long").alias("text_id"), "body").where("body is not null and text_id is not null")
+    lines = base.select("text_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).where("line <> ''")
     lines = lines.withColumn("norm", line_norm(F.col("line"))).where("norm <> ''")
-    return lines.select(
-        "text_id", F.col("line_no").cast("int").alias("line_no"), "site", F.xxhash64("norm", "site").alias("h0"), F.xxhash64(F.lit(7), "site", "norm").alias("h1"), F.xxhash64(F.lower("line")).alias("raw")
-    )
+    return cut(lines.select("text_id", F.col("line_no").cast("int").alias("line_no"), F.xxhash64("norm").alias("h0"), F.xxhash64(F.lit(7), "norm").alias("h1"), F.xxhash64(F.lower("line")).alias("raw")))
 
 
-def host_sizes(hosted: DataFrame) -> DataFrame:
-    """``site, n_texts``: texts with a body of each host."""
-    return hosted.groupBy(F.xxhash64("host").alias("site")).agg(F.count("*").alias("n_texts"))
+def placed_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """``site, text_id, at`` of the texts with a body whose file has a host, cut.
+
+    ``site`` is a hash of the host, ``at`` the number of the text within it.
+    """
+    t = texts.where("body is not null and text_id is not null").select("filepath", F.col("text_id").cast("long").alias("text_id"))
+    hosted = t.join(file_hosts(entries), "filepath").select(F.xxhash64("host").alias("site"), "text_id").distinct()
+    return cut(ordinal(hosted, ["text_id"], ["site"], out="at"))
 
 
 def _reached(n: str, min_docs: int, min_share: float) -> Column:
     return (F.col(n) >= min_docs) & (F.col(n) >= F.col("n_texts") * min_share - 1e-9)
 
 
-def candidate_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """The lines which occur often enough on their host to be repeated ones, cut."""
-    often = lines.groupBy("h0", "h1").agg(F.count("*").alias("n"), F.min("site").alias("site")).where(F.col("n") >= min_docs)
-    often = often.join(maybe_broadcast(hosts, hosts.count()), "site").where(_reached("n", min_docs, min_share))
-    often = cut(often.select("h0", "h1", "n_texts", "n"))
-    return cut(lines.drop("site").join(maybe_broadcast(often, often.count()), ["h0", "h1"]))
+def often_lines(lines: DataFrame, placed: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """The lines that occur often enough on their host to be repeated ones, cut.
+
+    ``site, h0, h1, n_texts, n`` of the line and ``text_id, at, line_no, raw``
+    of the occurrence.
+    """
+    seen = lines.groupBy("h0", "h1").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h0", "h1")
+    seen = cut(seen)
+    left = lines.join(maybe_broadcast(seen, seen.count()), ["h0", "h1"], "left_semi")
+    left = cut(left.join(placed, "text_id"))
+    sizes = placed.groupBy("site").agg(F.count("*").alias("n_texts"))
+    on_host = left.groupBy("site", "h0", "h1").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    on_host = cut(on_host.join(sizes, "site").where(_reached("n", min_docs, min_share)))
+    return cut(left.join(maybe_broadcast(on_host, on_host.count()), ["site", "h0", "h1"]))
+
+
+def bitmaps(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``keys, piece, low, bits``: a bitmap of the numbers of each key, by pieces of 32,768.
+
+    Of a piece the bytes from the first to the last in use are kept; ``low`` is
+    the first one's place.
+    """
+    bit = F.bitmap_bit_position(F.col(at) + 1)
+    out = rows.groupBy(*keys, F.bitmap_bucket_number(F.col(at) + 1).alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits"), F.min(bit).alias("least"), F.max(bit).alias("most"))
+    low, high = F.floor(F.col("least") / 8).cast("int"), F.floor(F.col("most") / 8).cast("int")
+    return out.select(*keys, "piece", low.alias("low"), F.substring("bits", low + 1, high - low + 1).alias("bits"))
+
+
+def _whole() -> Column:
+    """The 4,096 bytes of a piece."""
+    zeros = F.lit(bytes(4_096))
+    filled = F.concat(F.substring(zeros, F.lit(1), F.col("low")), F.col("bits"))
+    return F.concat(filled, F.substring(zeros, F.lit(1), F.lit(4_096) - F.length(filled)))
 
 
 def repeated_lines(candidates: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """``h0, h1, n_docs, piece, bits``: the repeated lines with their bitmaps.
+    """``site, h0, h1, piece, low, bits``: the repeated lines with their bitmaps, cut.
 
-    A row for each piece of 32,768 ids.  The key holds the piece and the
-    writing, so a hot host or line is spread by the pieces of its ids.
+    The key holds the piece and the writing, so a hot host or line is spread by
+    the numbers of its texts.
     """
-    piece, bit = F.bitmap_bucket_number("text_id"), F.bitmap_bit_position("text_id")
-    line = ["h0", "h1", "n_texts"]
-    variants = candidates.groupBy(*line, piece.alias("piece"), "raw").agg(F.bitmap_construct_agg(bit).alias("bits"))
-    united = cut(variants.groupBy(*line, "piece").agg(F.bitmap_or_agg("bits").alias("bits")))
-    total = united.groupBy(*line).agg(F.sum(F.bitmap_count("bits")).alias("n_docs")).where(_reached("n_docs", min_docs, min_share))
-    return united.drop("n_texts").join(total, ["h0", "h1"])
+    line = ["site", "h0", "h1"]
+    variants = bitmaps(candidates, [*line, "n_texts", "raw"], "at")
+    united = variants.groupBy(*line, "n_texts", "piece").agg(F.bitmap_or_agg(_whole()).alias("all"), F.min("low").alias("low"), F.max(F.col("low") + F.length("bits")).alias("end"))
+    united = cut(united.select(*line, "n_texts", "piece", "low", F.substring("all", F.col("low") + 1, F.col("end") - F.col("low")).alias("bits")))
+    total = united.groupBy(*line, "n_texts").agg(F.sum(F.bitmap_count("bits")).alias("n_docs")).where(_reached("n_docs", min_docs, min_share))
+    return cut(united.drop("n_texts").join(total.select(line), line, "left_semi"))
 
 
-def _bit_set(bits: str, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.col(bits), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.floor(byte / F.pow(F.lit(2.0), bit % 8)).cast("int") % 2 == 1
+def _bit_set(bit: Column) -> Column:
+    place = F.floor(bit / 8).cast("int") - F.col("low")
+    byte = F.conv(F.hex(F.substring("bits", place + 1, F.lit(1))), 16, 10).cast("int")
+    inside = (place >= 0) & (place < F.length("bits"))
+    return inside & (F.floor(byte / F.pow(F.lit(2.0), bit % 8)).cast("int") % 2 == 1)
 
 
 def looked_up(candidates: DataFrame, min_docs: int, min_share: float) -> DataFrame:
     """``text_id, line_no`` of the candidates that are repeated lines, by bitmap lookup."""
     candidates = candidates.where(_reached("n", min_docs, min_share))
-    repeated = cut(repeated_lines(candidates, min_docs, min_share))
-    looked = candidates.withColumn("piece", F.bitmap_bucket_number("text_id"))
-    # a bitmap has 4 KB: at most 20 MB are broadcast
-    looked = looked.join(maybe_broadcast(repeated.select("h0", "h1", "piece", "bits"), repeated.count(), 5_000), ["h0", "h1", "piece"])
-    return looked.where(_bit_set("bits", F.bitmap_bit_position("text_id"))).select("text_id", F.col("line_no").cast("long").alias("line_no"))
-
-
-def often_lines(texts: DataFrame, entries: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """The lines of all texts which occur often enough on their host to be repeated ones."""
-    hosted = hosted_texts(texts, entries)
-    return candidate_lines(_lines(hosted), cut(host_sizes(hosted)), min_docs, min_share)
+    repeated = repeated_lines(candidates, min_docs, min_share)
+    size = repeated.agg(F.coalesce(F.sum(F.length("bits") + 64), F.lit(0))).first()[0]
+    looked = candidates.withColumn("piece", F.bitmap_bucket_number(F.col("at") + 1))
+    looked = looked.join(F.broadcast(repeated) if size <= BROADCAST_BYTES else repeated, ["site", "h0", "h1", "piece"])
+    return looked.where(_bit_set(F.bitmap_bit_position(F.col("at") + 1))).select("text_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -129,7 +155,8 @@ def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = M
     count.  Rows given twice give one row; empty tables an empty result.  Lines
     are counted from 0 and parted at line feeds only.
     """
-    return looked_up(often_lines(texts, entries, min_docs, min_share), min_docs, min_share).distinct()
+    often = often_lines(hashed_lines(texts), placed_texts(texts, entries), min_docs, min_share)
+    return looked_up(often, min_docs, min_share).distinct()
 
 
 def remove_lines(texts: DataFrame, found: DataFrame) -> DataFrame:

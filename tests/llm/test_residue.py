@@ -8,7 +8,7 @@ LINE = "The old harbour belongs to sailors who restored it for {} years."
 def found(spark, bodies, entries=None):
     t = spark.createDataFrame([(k, f"f{k}", b, "x", True) for k, b in bodies.items()], "text_id long, filepath string, body string, frames string, only boolean")
     e = spark.createDataFrame(entries if entries is not None else [(f"f{k}", "http://a.example/") for k in bodies], "filepath string, url string")
-    return {r.id for r in R.residue(t, e).where("only_message or n_left > 0").collect()}
+    return {r.id for r in R.residue(t, e).where("only_message or filler or n_left > 0").collect()}
 
 
 PROSE = {100 + k: f"Title {k}\nThe {w} lies beside a garden that {w} people visited during the winter." for k, w in enumerate("alpha beta gamma delta epsilon zeta".split())}
@@ -16,7 +16,7 @@ PROSE = {100 + k: f"Title {k}\nThe {w} lies beside a garden that {w} people visi
 
 MESSAGES = [
         "404 Not Found", "Some Title\nInternal server error", "Title\nYou need to enable JavaScript to run this app.", "Loading...", "Fehler 503\nBitte in 5 Minuten erneut versuchen.",
-        "Title\nTest test test.", "blah blah blah.", "Tivesa mentur lortibior lorsamen vedus quaor. Quaor quaor pelummendus tivesa culniqua.", "Page introuvable La page /a/b n'existe pas ou plus. Retournez à l'accueil.",
+        "Title\nTest test test.", "blah blah blah.", " ".join(f"Tivesa {a} lortibior {b} vedus quaor {c} {a}. Quaor {b} quaor pelummendus {c} tivesa culniqua." for a, b, c in ("mentur lorsamen or".split(), "lorsamen um mentur".split(), "um or lorsamen".split())), "Page introuvable La page /a/b n'existe pas ou plus. Retournez à l'accueil.",
         "Страница не найдена", "Coming soon.", "Title\r\nAccess denied\r",
 ]
 
@@ -27,6 +27,11 @@ def test_messages_and_filler(spark):
 
 OTHERS = [
         None, "", "\n \n", "Just A Title", "Title\nThe words \"404 Not Found\" puzzled the authors of the study, as they wrote later in a letter.",
+        "Team loses again\nThe keeper made an error in the final minute.\nThe coach said sorry to the fans.\nHis robot friend was loading the bus.",
+        "Stary most\nKot śpi na płocie obok domu. Dzieci wracają ze szkoły późnym popołudniem. Rzeka płynie powoli przez miasto. Wieczorem zapalają się lampy.",
+        "Vanha silta\nKissa nukkuu aidalla talon vieressä. Lapset palaavat koulusta iltapäivällä. Joki virtaa hitaasti kaupungin läpi.",
+        "Tivesa mentur lortibior lorsamen vedus quaor. Quaor quaor pelummendus tivesa culniqua.",
+        "\n".join(["Sail on, sail on, the sea is wide", "And home is far behind us now", "The wind is cold, the night is long"] * 4 + ["Sail on, sail on, the sea is wide"]),
         "This app needs JavaScript.\nTitle\nThe portable harbour belongs to sailors who restored it for years and years.",
         "The manual writes {{ page.city }} where the garden later prints a value, and explains each step.",
 ]
@@ -108,4 +113,45 @@ def test_edges(spark):
 
 def test_queries(spark):
     assert R.p4_found(spark, SF).columns == ["text_id"]
-    assert R.p4_reasons(spark, SF).columns == ["text_id", "only_message", "n_fields", "n_left"]
+    assert R.p4_reasons(spark, SF).columns == ["text_id", "only_message", "filler", "n_fields", "n_left"]
+
+
+def pages(spark, bodies, hosts, **kw):
+    t = spark.createDataFrame([(k, f"f{k}", b) for k, b in bodies.items()], "text_id long, filepath string, body string")
+    e = spark.createDataFrame([(f"f{k}", f"http://{hosts[k % len(hosts)]}.example/") for k in bodies], "filepath string, url string")
+    return {r.id for r in R.residue(t, e, **kw).where("only_message or filler or n_left > 0").collect()}
+
+
+def test_error_templates_need_no_phrases(spark):
+    """A line that comes back on short pages of several hosts, but for numbers, addresses and one word, in any language."""
+    tell = "Mulingat ta opol /{}/x weg kod {}."
+    stubs = {k: f"Title {w}\n" + tell.format(w, 400 + k) for k, w in enumerate("alpha beta gamma delta".split())}
+    joined = {10: "Nazat bo weg " + tell.format("z", 9)} | {11 + k: f"Head {w}\nNazat bo weg" for k, w in enumerate("eins zwei drei".split())}
+    slot = {20 + k: f"Top {w}\nHin {w} zalo nemin troka." for k, w in enumerate("mapo sapo tapo".split())}
+    full = {30: tell.format("y", 7) + "\n" + "\n".join(f"The {w} lies beside a garden that people of {w} visited during the winter of their lives." for w in "alpha beta gamma delta".split())}
+    bodies = stubs | joined | slot | full
+    assert pages(spark, bodies, ["a", "b"], support=False) == {*stubs, *joined, *slot}
+    # on one host it may be what a catalogue says of its things
+    assert pages(spark, bodies, ["a"], support=False) == set()
+
+
+def test_copies_of_a_short_text_are_no_template(spark):
+    copies = {k: "The Mill\nThe mill was built by two brothers from the north.\nIt burned down in 1870." for k in range(6)}
+    assert pages(spark, copies, ["a", "b"], support=False) == set()
+
+
+def test_slots_teach_notations(spark):
+    """A notation that no list has, left in two slots of three texts, is one of fields wherever it stands."""
+    left = {k: f"Visitors reach @{{site.Name}} through a valley that the {w} mapped." for k, w in enumerate("x y z".split())}
+    left |= {3 + k: f"Critics of @{{site.Name}} argued that the {w} is closed." for k, w in enumerate("x y".split())}
+    plain = {20: "Visitors reach Dunbo through a valley that we mapped.", 21: "Critics of Dunbo argued that it is closed."}
+    alone = {30: "@{city.Name}\nThe old harbour lies beside a garden."}
+    assert pages(spark, left | plain | alone, ["a"], support=False) == {*left, 30}
+    assert pages(spark, alone | plain, ["a"], support=False) == set()
+
+
+def test_blanks_and_defaults_count_in_slots_only(spark):
+    for blank in ("____", "N/A", "%s", "{0}"):
+        left = {k: f"Visitors reach {blank} through a valley that the {w} mapped." for k, w in enumerate("x y".split())}
+        plain = {20: "Visitors reach Dunbo through a valley that we mapped.", 30: f"The answer is {blank} in both of these cases."}
+        assert pages(spark, left | plain, ["a"]) == set(left)

@@ -72,3 +72,21 @@ def test_ids_far_apart_and_a_hot_host(spark):
     texts = [(k * 40_000 - 100_000, f"f{k}", f"mine {chr(97 + k % 26)}{chr(97 + k // 26)}\nall the same", "", "", 0) for k in range(300)]
     t, e = make(spark, texts, [(f"f{k}", "http://hot.example/", "") for k in range(300)])
     assert len(rows(S.repeated_occurrences(t, e))) == 300
+
+
+def test_bitmaps_stay_small_however_far_apart_the_ids_are(spark):
+    """300 hosts of 10 texts whose ids are a million apart: some bytes a line, not a piece of 4 KB."""
+    texts = [(((k * 7_919) % 3_000) * 1_000_000, f"f{k}", "all the same\nmine " + f"{k:b}".translate({48: "a", 49: "b"}), "", "", 0) for k in range(3_000)]
+    t, e = make(spark, texts, [(f"f{k}", f"http://h{k % 300}.example/", "") for k in range(3_000)])
+    often = S.often_lines(S.hashed_lines(t), S.placed_texts(t, e), S.MIN_DOCS, S.MIN_SHARE)
+    held = S.repeated_lines(often, S.MIN_DOCS, S.MIN_SHARE).selectExpr("count(*) n", "sum(length(bits)) size").first()
+    assert held.n == 300 and held.size <= 600
+    assert S.repeated_occurrences(t, e).count() == 3_000
+
+
+def test_bitmaps_of_many_pieces(spark):
+    ids = spark.range(0, 200_000, 3).selectExpr("'s' as site", "id as at")
+    held = S.bitmaps(ids, ["site"], "at").collect()
+    assert len(held) == 7 and sum(int.from_bytes(r.bits, "big").bit_count() for r in held) == 66_667
+    few = spark.createDataFrame([("s", 32_767), ("s", 32_768), ("s", 40_000), ("s", 0)], "site string, at long")
+    assert sorted((r.piece, r.low, len(r.bits)) for r in S.bitmaps(few, ["site"], "at").collect()) == [(1, 0, 4_096), (2, 0, 905)]
