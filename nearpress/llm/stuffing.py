@@ -1,5 +1,11 @@
 """Problem 8: keyword-stuffed pages and link lists.
 
+What the words of sentences are is learned from the table itself: a word that
+stands in enough documents, and more often in segments shaped like sentences
+than in others (titles, lists, tags), tells prose; the other words of that many
+documents are known to name things.  No list of any language is used, and a
+text of whose words none is known isn't judged by them.
+
 A text is cut into segments (sentences and lines).  Within a text the words
 are held against themselves at each lag of a window: a content word that comes
 back within the window counts as recurring, and the share of recurring words
@@ -11,17 +17,17 @@ the gaps between the occurrences of a content word vary little, or the text
 equals itself at one lag of up to some tens of words, again and again.  Words
 found by either count as recurring too.
 
-A segment is stuffing if most of its content words recur, or if it is a list
-of names and nouns with next to no function words.  A text is flagged if more
-than half of its words stand in such segments.  Everything is worked out in
-flat arrays over a batch of texts; nothing is shuffled.
+A segment is stuffing if most of its content words recur; if it is a list, not
+a sentence, of names and nouns with next to no words of prose; or if it is a
+link or a tag with no more around it.  A text is flagged if more than half of
+its words stand in such segments.  Everything is worked out in flat arrays over
+a batch of texts; only counts of words are shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,44 +35,46 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpress.llm.common import table
+from nearpress.llm.common import cut, table
 
 #: Lags of the window in which a word counts as coming back.
 LAGS = 6
 #: Share of recurring words from which a segment is stuffing.
 RECURRING = 0.4
-#: Lags (about the length of a long sentence; a paragraph said again isn't key words) up to which a text is held against itself for even repetition, the share of
-#: its content words that must equal the one a lag on, and how many lags of them.
+#: Lags (about the length of a long sentence; a paragraph said again isn't key words) up to which
+#: a text is held against itself for even repetition, the share of its content words that must
+#: equal the one a lag on, and how many lags of them.
 LONG_LAGS = 30
 SAME_SHARE = 0.6
 SAME_TIMES = 5
 #: Gaps of a word from which they can be judged, and the deviation by their mean up to which they are even.
 EVEN_GAPS = 6
 EVEN_DEVIATION = 0.35
-#: Share of function words below which a segment is a list.
-FUNCTION_SHARE = 0.1
-#: Share of a text's words, and number of words, from which it is flagged.
+#: Share of a segment's content words that must come back evenly.
+EVEN_SHARE = 0.6
+#: Documents, as a share of all and at least so many, in which a word is known; how many times more
+#: often it stands in sentences than elsewhere to be a word of prose; signs it may have.
+KNOWN_SHARE = 0.002
+KNOWN_DOCS = 3
+PROSE_RATIO = 2.0
+WORD_SIGNS = 30
+#: Words from which a segment with a final sign is a sentence.
+SENTENCE_WORDS = 4
+#: Share of words of prose below which a segment is a list, and share of known words of its text
+#: from which that can be told; both for a segment shaped like a sentence, which has more words.
+LIST_PROSE, LIST_KNOWN = 0.1, 0.15
+LONG_LIST_WORDS, LONG_LIST_PROSE, LONG_LIST_KNOWN = 8, 0.05, 0.3
+#: Share of a text's words from which it is flagged, and words from which lists alone do that: a title is less.
 STUFFED_SHARE = 0.5
 STUFFED_WORDS = 8
 #: Bytes of text taken at once.
 SLICE_BYTES = 4_000_000
 
-#: Common function words of the languages of the corpus.
-FUNCTION_WORDS = {
-    "en": "a an and are as at be been but by for from had has have he her his i in into is it its no not of on or our she so such than that the their them then they this through to was we were what when where which while who whom whose with would yet you your some most many every each all only both neither nor near under during after before because although between beside there here",
-    "fr": "à au aux avec ce ces cet cette chaque comme comment dans de depuis des dont du elle en entre est et fut il ils la le les leur leurs mais ne ni nos notre nous ont ou où par pas plus plusieurs pour près quand que qui qu sa sans se ses son sont souvent sur toute toutes tous tout un une vos votre vous avait avaient aurait",
-    "de": "aber als am an auf aus bei bis das dass dem den der des die diese diesem diesen dieser dieses doch durch ein eine einem einen einer eines er es für gegen hat hatte hatten ich ihr ihre im in ist ja jede jeden jeder jedes kein keine mit nach nicht noch nur oder ohne schon sein seine seit sich sie sind über um und unter viele vom von vor war waren weder wie wir wird wurde wurden zu zum zur zwischen",
-    "es": "a al antes apenas cada como cómo con cuando cuya de del desde dicen donde dos e el ella ellos en entre era es esa ese eso esta este esto fue ha han hasta la las le les lo los más me mi muy ni no nos o para pero por porque que quedó se ser si sin sobre son su sus también todo todos tras un una uno unos y ya había habían habría tenía",
-    "ru": "а без бы был была были было в во все всё где для до его ее если есть за из и или их к как ко когда кто ли мы на над не него нет никто но о об он она они от по под при с сказал со так то только у что это я потом",
-}
-
 _CUT = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|[\r\n]+")
+_SENTENCE = r"[.!?…][\"”’»)]*\s*$"
 _EDGES = ".,;:!?…\"'“”„«»‘’()[]{}<>|•*·-–—/\\#=+~_@"
-
-
-@lru_cache(maxsize=1)
-def _function_words() -> pa.Array:
-    return pa.array(sorted({w for words in FUNCTION_WORDS.values() for w in words.split()}))
+#: Stands for the address of a link.
+_LINK = "\ue000"
 
 
 def segments(text: str) -> list[str]:
@@ -74,6 +82,75 @@ def segments(text: str) -> list[str]:
     return [s for s in _CUT.split(text) if s.strip()]
 
 
+class Words:
+    """The words of some texts in flat arrays."""
+
+    def __init__(self, texts: pa.Array):
+        bare = pc.replace_substring_regex(texts, r"<[aA]\s[^<>]*>|\]\([^\s()]+\)|(?:https?://|www\.)\S+", f" {_LINK} ")
+        bare = pc.replace_substring_regex(bare, r"</?[A-Za-z][^<>]{0,200}>", " ")
+        cut_ = [segments(t) for t in bare.to_pylist()]
+        self.n_docs = len(cut_)
+        self.doc_of = np.repeat(np.arange(len(cut_)), [len(c) for c in cut_])
+        flat = pa.array([s.lower() for c in cut_ for s in c], pa.string())
+        final = pc.match_substring_regex(flat, _SENTENCE).to_numpy(zero_copy_only=False)
+        # commas, bars and apostrophes without a space part words too
+        flat = pc.replace_substring_regex(flat, r"[,;|/’']+", " ")
+        split = pc.utf8_split_whitespace(flat)
+        self.segment, words = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64), split.flatten()
+        tag = pc.match_substring_regex(words, r"^#[^#]").to_numpy(zero_copy_only=False)
+        words = pc.utf8_trim(words, _EDGES)
+        there = pc.not_equal(pc.binary_length(words), 0)
+        mask = there.to_numpy(zero_copy_only=False)
+        coded = words.filter(there).dictionary_encode()
+        self.segment, self.tag = self.segment[mask], tag[mask]
+        self.names, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = self.doc_of[self.segment] if len(self.segment) else np.zeros(0, np.int64)
+        self.n_segments = len(flat)
+        self.count = np.bincount(self.segment, minlength=self.n_segments)
+        self.sentence = final & (self.count >= SENTENCE_WORDS)
+
+    def are_in(self, values: pa.Array) -> np.ndarray:
+        """Whether each word is one of some."""
+        if not len(self.codes):
+            return np.zeros(0, bool)
+        return pc.is_in(self.names, value_set=values).to_numpy(zero_copy_only=False)[self.codes]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each word in sentences and elsewhere, and its documents."""
+    for _, texts in _slices(batches):
+        w = Words(texts)
+        n = len(w.names)
+        sentence = w.sentence[w.segment] if len(w.segment) else np.zeros(0, bool)
+        inside, outside = np.bincount(w.codes[sentence], minlength=n), np.bincount(w.codes[~sentence], minlength=n)
+        docs = np.bincount(np.unique(w.codes << 32 | w.doc) >> 32, minlength=n)
+        short = pc.and_(pc.less_equal(pc.utf8_length(w.names), WORD_SIGNS), pc.match_substring_regex(w.names, r"^[^\d" + _LINK + r"]+$"))
+        made = pa.RecordBatch.from_arrays([w.names.cast(pa.string()), pa.array(inside), pa.array(outside), pa.array(docs)], names=["word", "inside", "outside", "docs"]).filter(short)
+        # the totals of all words, long ones included, under the empty word
+        total = pa.RecordBatch.from_arrays([pa.array([""]), pa.array([int(inside.sum())]), pa.array([int(outside.sum())]), pa.array([w.n_docs])], names=made.schema.names)
+        yield made
+        yield total
+
+
+def learned(df: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
+    """The words of prose, and the other known words.
+
+    Their number is bounded: a document has a few hundred distinct words, so
+    no more than that by ``KNOWN_SHARE`` can be in that share of all.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    counts = cut(rows.mapInArrow(_counted, "word string, inside long, outside long, docs long").groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"), F.sum("docs").alias("docs")))
+    total = counts.where("word = ''").first()
+    if total is None:
+        return [], []
+    known = counts.where((F.col("word") != "") & (F.col("docs") >= max(KNOWN_DOCS, KNOWN_SHARE * total.docs)))
+    ratio = (F.col("inside") / max(total.inside, 1)) / ((F.col("outside") + 1) / max(total.outside, 1))
+    prose: tuple[list[str], list[str]] = [], []
+    for r in known.select("word", (ratio >= PROSE_RATIO).alias("prose")).toLocalIterator():
+        prose[0 if r.prose else 1].append(r.word)
+    return sorted(prose[0]), sorted(prose[1])
+
+
 def _recurring(words: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Content words that come back, or have come before, within the lags."""
     out = np.zeros(len(words), bool)
@@ -121,40 +198,43 @@ def _same_again(words: np.ndarray, content: np.ndarray, doc: np.ndarray, n_docs:
     return out
 
 
-def stuffed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words of each text, and how many of them stand in stuffing."""
-    cut = [segments(t) for t in texts]
-    n_segments = np.array([len(c) for c in cut], np.int64)
-    flat = pa.array([s.lower() for c in cut for s in c], pa.string())
-    if not len(flat):
-        return np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    # commas, bars and apostrophes without a space part words too
-    flat = pc.replace_substring_regex(flat, r"[,;|/#’']+", " ")
-    split = pc.utf8_split_whitespace(flat)
-    segment = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pc.utf8_trim(split.flatten(), _EDGES)
-    there = pc.not_equal(pc.binary_length(words), 0)
-    words, segment = words.filter(there), segment[there.to_numpy(zero_copy_only=False)]
-    coded = words.dictionary_encode()
-    is_function = pc.is_in(coded.dictionary, value_set=_function_words()).to_numpy(zero_copy_only=False)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    function = is_function[codes] if len(codes) else np.zeros(0, bool)
-    doc_of = np.repeat(np.arange(len(texts)), n_segments)
-    doc = doc_of[segment]
-    back = _recurring(codes, ~function, doc)
-    evenly = back | _even_gaps(codes.astype(np.int64), ~function, doc) | _same_again(codes, ~function, doc, len(texts))
-    n = len(flat)
-    count = np.bincount(segment, minlength=n)
-    functions = np.bincount(segment[function], minlength=n)
-    recurs = np.bincount(segment[back], minlength=n)
-    evens = np.bincount(segment[evenly], minlength=n)
-    content = np.maximum(count - functions, 1)
-    bad = (recurs >= RECURRING * count) | (evens >= 0.6 * content) & (evens >= 2) | (functions < FUNCTION_SHARE * count)
-    total = np.bincount(doc_of, weights=count, minlength=len(texts)).astype(np.int64)
-    return total, np.bincount(doc_of, weights=count * bad, minlength=len(texts)).astype(np.int64)
-
-
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What a text is measured by.
+MEASURES = "n_words n_stuffed n_recurring n_even n_list n_link".split()
+
+
+def stuffed(texts: pa.Array, prose: pa.Array, known: pa.Array) -> list[np.ndarray]:
+    """Of each text the words, those in stuffing, and those in segments of each kind.
+
+    A segment counts for the first kind it is of: recurring, even, link, list.
+    """
+    w = Words(texts)
+    of_prose = w.are_in(prose)
+    content = ~of_prose
+    n = w.n_segments
+    back = _recurring(w.codes, content, w.doc)
+    evenly = _even_gaps(w.codes, content, w.doc) | _same_again(w.codes, content, w.doc, w.n_docs)
+    link = w.tag | w.are_in(pa.array([_LINK]))
+    in_segment = lambda mask: np.bincount(w.segment[mask], minlength=n)
+    in_doc = lambda values: np.bincount(w.doc_of, weights=values, minlength=w.n_docs)
+    n_prose = in_segment(of_prose)
+    total = in_doc(w.count)
+    known_share = np.bincount(w.doc[of_prose | w.are_in(known)], minlength=w.n_docs) / np.maximum(total, 1)
+    known_share = known_share[w.doc_of]
+    recurs = in_segment(back) >= RECURRING * w.count
+    even = (in_segment(back | evenly) >= EVEN_SHARE * np.maximum(w.count - n_prose, 1)) & (in_segment(evenly) >= 2)
+    linked = (in_segment(link) > 0) & (n_prose < LIST_PROSE * w.count)
+    plain = ~w.sentence & (n_prose < LIST_PROSE * w.count) & (known_share >= LIST_KNOWN)
+    long = w.sentence & (w.count >= LONG_LIST_WORDS) & (n_prose < LONG_LIST_PROSE * w.count) & (known_share >= LONG_LIST_KNOWN)
+    kinds, taken = [], np.zeros(n, bool)
+    for mask in (recurs, even, linked, plain | long):
+        kinds.append(in_doc(w.count * (mask & ~taken)))
+        taken |= mask
+    recurring, even_, link_, list_ = kinds
+    return [x.astype(np.int64) for x in (total, in_doc(w.count * taken), recurring, even_, list_, link_)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts in slices of bounded size; nulls are left out."""
     for batch in batches:
         ids, values = batch.column(0), batch.column(1).cast(pa.string())
         ok = pc.and_(pc.is_valid(ids), pc.is_valid(values))
@@ -163,20 +243,30 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), len(values)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                total, bad = stuffed(values.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(total), pa.array(bad)], names=["id", "n_words", "n_stuffed"])
+                yield ids.slice(a, b - a), values.slice(a, b - a)
+
+
+def _scores(prose: list[str], known: list[str]):
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = pa.array(prose, pa.string()), pa.array(known, pa.string())
+        for ids, texts in _slices(batches):
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *map(pa.array, stuffed(texts, *sets))], names=["id", *MEASURES])
+
+    return op
 
 
 def stuffing(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_words, n_stuffed, flagged`` of each text.
+    """``id, n_words, n_stuffed, n_recurring, n_even, n_list, n_link, flagged`` of each text.
 
     Null ids and texts are left out; the empty text has no words and isn't
-    flagged.  Rows given twice come out twice; other columns are ignored.
+    flagged.  Rows given twice come out twice; other columns are ignored.  Words
+    are learned from the table when this is called.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_scores, "id long, n_words long, n_stuffed long")
-    flagged = (F.col("n_stuffed") > F.col("n_words") * STUFFED_SHARE) & (F.col("n_stuffed") >= STUFFED_WORDS)
-    return out.withColumn("flagged", flagged)
+    out = rows.mapInArrow(_scores(*learned(df, id_col, text_col)), "id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    # a title alone is no list
+    enough = (F.col("n_stuffed") >= STUFFED_WORDS) | (F.col("n_stuffed") - F.col("n_list") > F.col("n_words") * STUFFED_SHARE)
+    return out.withColumn("flagged", (F.col("n_stuffed") > F.col("n_words") * STUFFED_SHARE) & enough)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,24 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from nearpress.llm import stuffing as S
 
 from ..conftest import SF
 
+#: Words are learned from the table: the cases stand among these documents.
+AROUND = "/root/testdata/sf0.01/documents.parquet"
+
 PROSE = "The remote harbour belongs to sailors who restored the quiet library in the winter. Most readers remember how Elskara formally funded its sensor and the shrine. After the war, villages slowly painted every bridge around the lake. "
 
 
-def flagged(spark, texts):
+def measured(spark, texts):
     df = spark.createDataFrame([(k, t, 0, "x") for k, t in enumerate(texts)], "doc_id long, text string, id int, n_words string")
-    return {r.id for r in S.stuffing(df, "doc_id", "text").where("flagged").collect()}
+    around = spark.read.parquet(AROUND).select((-F.col("doc_id") - 1).alias("doc_id"), "text", F.lit(0).alias("id"), F.lit("").alias("n_words"))
+    return {r.id: r for r in S.stuffing(df.unionByName(around), "doc_id", "text").where("id >= 0").collect()}
+
+
+def flagged(spark, texts):
+    return {k for k, r in measured(spark, texts).items() if r.flagged}
 
 
 SPAM = [
@@ -19,6 +30,8 @@ SPAM = [
     "Clinic Northern\nDunbo Terrace Sturdy\nElskan Top Lumron Saddle\nSteep\nSculpture Hybrid Online",
     "Tags: hondo taller, rural faro, hondo tallers, hondo taller comprar, rural faro en-línea, rural faro nuevo",
     "best deal - https://shop.a1.example/x cheap - https://shop.b2.example/y/z price Karrisk pont - http://c.example/ new - http://d.example/",
+    "<a href=\"http://a.example/x\">bright fossil</a>\n<a href='http://b.example/'>cheap Karrisk canal</a> <a href=\"https://c.example/y\">Ordreth</a>",
+    "#Amber #Furnace #Best",
     "council layered lattice folded regiment new hollow bridge near-me library layered lattice tunnel layered lattice",
 ]
 
@@ -30,6 +43,11 @@ def test_spam(spark):
 
 OTHERS = [
         PROSE, None, "", "Title Only", "Lonely",
+        "Kot śpi na płocie obok domu. Dzieci wracają ze szkoły późnym popołudniem. Rzeka płynie powoli przez miasto. Wieczorem zapalają się lampy.",
+        "Kissa nukkuu aidalla talon vieressä. Lapset palaavat koulusta iltapäivällä. Joki virtaa hitaasti kaupungin läpi.",
+        "Śpij, kochany, noc już blisko\nKsiężyc patrzy w okno twe\nCicho szumi stara rzeka\nWiatr kołysze senne mgły",
+        "The Old Harbour Library of the North\nBridge",
+        "Critics of Mardok Jorllen argued that no lantern should be founded without tailors.",
         "Glossary\nLantern: Local printers say the lantern was replaced twice, first for its antenna, then for a festival.\nShrine: What Brigalo called a protein is rarely described as a amber festival today.",
         "We sail the long and empty sea until the light is gone.\n" * 2 + "And nobody who left the bay came back before the dawn.\n" + "We sail the long and empty sea until the light is gone.\n" * 2,
         PROSE + "\n- vineyard: ancient\n- engine: municipal\n- kettle: modest",
@@ -46,27 +64,37 @@ def test_more_than_half_counts(spark):
     assert flagged(spark, [PROSE * 3 + "\n" + keys, PROSE + "\n" + keys * 12]) == {1}
 
 
-def test_even_repetition_in_long_sentences():
+def test_even_repetition_in_long_sentences(spark):
     flights = "Get cheap flights to Rome from us in one click. "
     twice = "With a cheap fare to the city you can book the cheap room in Elba at once. "
     varied = "".join(f"Get cheap flights to {x} from us in one {y} click. " for x, y in zip("Rome Elba Oslo Bonn Lyon Kyiv Cork Bari Nice Graz".split(), "fast easy safe good calm neat free kind warm cool".split()))
     song = "".join(f"{v}\nWe sail the long and empty sea until the light is gone.\n" for v in [
         "Nobody who left the bay came back before the dawn.", "My father built a boat of oak and painted it in green.", "The lantern on the northern rock was lit by older hands.",
         "They sold the nets and mended ropes beside the harbour wall.", "A letter came from distant shores when winter was near."])
-    total, bad = S.stuffed([flights * 50, twice * 30, varied, song, PROSE * 2])
-    assert (bad[:3] == total[:3]).all()
-    assert (bad[3:] * 2 <= total[3:]).all()
+    polish = "Tani nocleg blisko morza czeka tutaj na ciebie i na twoje dzieci latem. "
+    got = measured(spark, [flights * 50, twice * 30, varied, polish * 30, song, PROSE * 2])
+    assert all(got[k].n_stuffed == got[k].n_words for k in range(4))
+    assert all(got[k].n_stuffed * 2 <= got[k].n_words for k in (4, 5))
 
 
 def test_slices_and_long_texts(spark, monkeypatch):
     long = "public choir offer | " * 60_000
     assert flagged(spark, [long, PROSE * 5_000]) == {0}
-    total, bad = S.stuffed([PROSE, "", SPAM[0]])
+    total, bad, *_ = S.stuffed(pa.array([PROSE, "", SPAM[0]]), pa.array("the to in who how its and after every around".split()), pa.array([], pa.string()))
     assert total[1] == 0 and bad[0] == 0 and bad[2] == total[2]
 
 
+def test_slices_learn_the_same(spark):
+    docs = spark.read.parquet(AROUND)
+    want = S.learned(docs, "doc_id", "text")
+    assert S.learned(docs.repartition(7).withColumn("word", F.lit("x")), "doc_id", "text") == want
+    assert {"the", "and", "und", "les", "los"} <= {*want[0]} and not {"lantern", "puente"} & {*want[0]}
+
+
 def test_edges(spark):
     assert flagged(spark, []) == set()
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert S.learned(empty, "doc_id", "text") == ([], []) and S.stuffing(empty, "doc_id", "text").count() == 0
     df = spark.createDataFrame([(None, SPAM[0]), (1, SPAM[0]), (1, SPAM[0])], "doc_id long, text string")
     assert S.stuffing(df, "doc_id", "text").count() == 2
     assert S.p8_found(spark, SF).columns == ["doc_id"]
