@@ -1,7 +1,8 @@
 """Gradient-boosted trees for two classes, on arrays.
 
-Training is by histograms with second-order leaf values; a fitted model is a
-few arrays, which go to JSON and are evaluated for whole batches at once.
+The trees are oblivious: all nodes of a level ask the same question, so that a
+tree is a few comparisons of whole columns.  Training is by histograms with
+second-order leaf values; a fitted model is a few arrays, which go to JSON.
 """
 
 from __future__ import annotations
@@ -10,21 +11,22 @@ import numpy as np
 
 
 class Trees:
-    """A fitted model: complete trees of one depth, and what they start from."""
+    """A fitted model: trees of one depth, and what they start from."""
 
     def __init__(self, base: float, feature: np.ndarray, cut: np.ndarray, value: np.ndarray):
         self.base, self.feature, self.cut, self.value = base, feature, cut, value
-        self.depth = int(np.log2(value.shape[1]))
 
     def margin(self, rows: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
-        at = np.arange(len(rows))
+        used = np.unique(self.feature)
+        columns = dict(zip(used.tolist(), np.ascontiguousarray(rows[:, used].T)))
         out = np.full(len(rows), self.base)
-        for feature, cut, value in zip(self.feature, self.cut, self.value):
-            node = np.zeros(len(rows), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (rows[at, feature[node]] > cut[node])
-            out += value[node - (len(value) - 1)]
+        for feature, cut, value in zip(self.feature.tolist(), self.cut, self.value):
+            leaf = np.zeros(len(rows), np.int32)
+            for f, c in zip(feature, cut):
+                leaf += leaf
+                leaf += columns[f] > c
+            out += value[leaf]
         return out
 
     def to_dict(self) -> dict:
@@ -39,49 +41,39 @@ class Trees:
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, n_trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 64, l2: float = 1.0, least: float = 5.0) -> Trees:
-    """Fits trees by logistic loss; ``least`` is the smallest sum of curvature of a leaf."""
+    """Fits trees by logistic loss; ``least`` is the smallest sum of curvature of a side that counts."""
     n, m = rows.shape
     edges = [np.unique(np.quantile(rows[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="nearest")) for j in range(m)]
-    binned = np.stack([np.searchsorted(e, rows[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.int32)
+    asked = [j for j in range(m) if len(edges[j])]
+    binned = {j: np.searchsorted(edges[j], rows[:, j], side="left") for j in asked}
     mean = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     base = float(np.log(mean / (1 - mean)))
     margin = np.full(n, base)
-    inner = 2**depth - 1
     trees = ([], [], [])
     for _ in range(n_trees):
         p = 1 / (1 + np.exp(-margin))
         grad, curve = labels - p, np.maximum(p * (1 - p), 1e-9)
-        feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf, np.float32)
-        node = np.zeros(n, np.int64)
+        feature, cut, leaf = [], [], np.zeros(n, np.int64)
         for level in range(depth):
-            first, width = 2**level - 1, 2**level
-            best = np.full(width, 1e-6)
-            where = np.full((width, 2), -1)
-            local = node - first
-            for j in range(m):
-                if not len(edges[j]):
-                    continue
+            width, best = 2**level, (-1.0, asked[0], 0)
+            for j in asked:
                 nb = len(edges[j]) + 1
-                key = local * nb + binned[:, j]
+                key = leaf * nb + binned[j]
                 g = np.bincount(key, grad, width * nb).reshape(width, nb).cumsum(axis=1)
                 h = np.bincount(key, curve, width * nb).reshape(width, nb).cumsum(axis=1)
                 gl, hl, gt, ht = g[:, :-1], h[:, :-1], g[:, -1:], h[:, -1:]
                 gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
                 gain[(hl < least) | (ht - hl < least)] = 0
-                k = gain.argmax(axis=1)
-                top = gain[np.arange(width), k]
-                better = top > best
-                best[better] = top[better]
-                where[better] = np.column_stack([np.full(width, j), k])[better]
-            for i, (j, k) in enumerate(where):
-                if j >= 0:
-                    feature[first + i], cut[first + i] = j, edges[j][k]
-            node = 2 * node + 1 + (rows[np.arange(n), feature[node]] > cut[node])
-        leaf = node - inner
-        value = rate * np.bincount(leaf, grad, inner + 1) / (np.bincount(leaf, curve, inner + 1) + l2)
+                gain = gain.sum(axis=0)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (float(gain[k]), j, k)
+            _, j, k = best
+            feature.append(j)
+            cut.append(np.float32(edges[j][k]))
+            leaf = 2 * leaf + (rows[:, j] > cut[-1])
+        value = rate * np.bincount(leaf, grad, 2**depth) / (np.bincount(leaf, curve, 2**depth) + l2)
         margin += value[leaf]
         for store, x in zip(trees, (feature, cut, value)):
             store.append(x)
-    model = Trees(base, *(np.array(x) for x in trees))
-    model.cut = np.where(np.isinf(model.cut), np.float32(3e38), model.cut)
-    return model
+    return Trees(base, *(np.array(x) for x in trees))

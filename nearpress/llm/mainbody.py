@@ -2,11 +2,14 @@
 
 Gradient-boosted trees judge every node of a page from features of the node
 and its place: density of the text below, attribute tokens, depth, siblings
-before and after, parent and outer block, wording scores.  A page is then
-decoded as a whole: a node can be body only with its ancestors, and an inner
-node only with something below it, and of all such choices the one with the
-highest sum of log-odds is taken.  Each page is worked on alone, so nothing is
-shuffled but the page types.
+before and after, parent and outer block, wording scores.  They are fitted with
+and without the wording scores, so that pages of other words are judged by
+their structure.  A page is then decoded as a whole: a node can be body only
+with its ancestors, and an inner node only with something below it, and of all
+such choices the one with the highest sum of log-odds is taken.
+
+Each page is worked on alone.  The types of pages are broadcast where their
+counted rows are few; beyond that pages meet them by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpress.llm.boosting import Trees
-from nearpress.llm.common import table
-from nearpress.llm.pagenodes import Block, features, page_tree
+from nearpress.llm.common import cut, maybe_broadcast, table
+from nearpress.llm.pagenodes import Block, batch_features, page_tree
 
 #: Pages judged together.
-PAGES_AT_ONCE = 64
+PAGES_AT_ONCE = 128
 
 MODEL = os.path.join(os.path.dirname(__file__), "pagemodel.json")
 
@@ -70,11 +73,17 @@ def decode(blocks: list[Block], odds: np.ndarray) -> np.ndarray:
 def bodies_lines(pages: list[tuple[str, str | None]], model: tuple[Trees, dict[str, float]]) -> list[list[int]]:
     """For each page and its type the numbers of the lines with text of the body."""
     trees, scores = model
-    made = [features(root, kind, scores) if root.children else ([], None) for root, kind in ((page_tree(source), kind) for source, kind in pages)]
-    rows = [x for _, x in made if x is not None]
-    odds = trees.margin(np.concatenate(rows)) if rows else np.zeros(0)
-    out, at = [], 0
-    for blocks, _ in made:
+    roots = [page_tree(source) for source, _ in pages]
+    some = [(root, kind) for root, (_, kind) in zip(roots, pages) if root.children]
+    made, rows = batch_features(some, scores) if some else ([], None)
+    odds = trees.margin(rows) if some else np.zeros(0)
+    found, at = iter(made), 0
+    out = []
+    for root in roots:
+        if not root.children:
+            out.append([])
+            continue
+        blocks = next(found)
         chosen = decode(blocks, odds[at : at + len(blocks)])
         at += len(blocks)
         out.append(sorted({line for b in blocks if chosen[b.index] and b.text is not None for line in b.lines}))
@@ -110,7 +119,9 @@ def typed_pages(pages: DataFrame, entries: DataFrame) -> DataFrame:
     kinds = kinds.groupBy("filepath", "kind").agg(F.count("*").alias("n"))
     kinds = kinds.groupBy("filepath").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("page_type"))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "filepath", "html").where("page_id is not null and html is not null")
-    return p.join(kinds, "filepath", "left").select("page_id", "html", "page_type")
+    paths = pages.select("filepath").where("filepath is not null and html is not null").distinct()
+    kinds = cut(kinds.join(paths, "filepath", "left_semi"))
+    return p.join(maybe_broadcast(kinds, kinds.count()), "filepath", "left").select("page_id", "html", "page_type")
 
 
 def main_body(pages: DataFrame, entries: DataFrame, model_path: str = MODEL) -> DataFrame:

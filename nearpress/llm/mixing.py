@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearpress.llm.common import cut, table
+from nearpress.llm.common import cut, maybe_broadcast, table
 from nearpress.llm.tokens import TOKENIZER, token_count
 
 #: Ranges of places of a source.
@@ -61,16 +61,22 @@ def largest_exact_total(weights: dict[str, float], available: dict[str, float])
 _PLAN = "mix_name string, source string, target_share double, max_repeats int, available long, wanted double, whole long, rest double"
 
 
-def plan_mix(spark: SparkSession, sums: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def usable_targets(targets: DataFrame) -> DataFrame:
+    """``mix_name, source, w, r`` of the targets that count; of a source given twice the sum and the smaller cap."""
+    t = targets.select("mix_name", "source", F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("r"))
+    t = t.where("mix_name is not null and source is not null and w > 0 and r > 0")
+    return t.groupBy("mix_name", "source").agg(F.sum("w").alias("w"), F.min("r").alias("r"))
+
+
+def plan_mix(spark: SparkSession, sums: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> DataFrame:
     """For each mix and source: tokens wanted, whole repetitions, tokens of the rest.
 
     ``sums`` has ``source, available``.  Both tables are as long as the list of
-    targets at most.
+    targets at most.  ``total_tokens`` is a number, ``"available"`` for all
+    tokens the sources of the mix have, or None for the largest total at which
+    no source is clamped.
     """
-    t = targets.select("mix_name", "source", F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("r"))
-    t = t.where("mix_name is not null and source is not null and w > 0 and r > 0")
-    t = t.groupBy("mix_name", "source").agg(F.sum("w").alias("w"), F.min("r").alias("r"))
-    rows = t.join(sums, "source", "left").orderBy("mix_name", "source").limit(MAX_TARGETS + 1).collect()
+    rows = usable_targets(targets).join(sums, "source", "left").orderBy("mix_name", "source").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     by_mix: dict[str, list] = {}
@@ -80,7 +86,7 @@ def plan_mix(spark: SparkSession, sums: DataFrame, targets: DataFrame, total_tok
     for mix, sources in by_mix.items():
         weights = {r.source: r.w for r in sources}
         caps = {r.source: float((r.available or 0) * r.r) for r in sources}
-        total = largest_exact_total(weights, caps) if total_tokens is None else total_tokens
+        total = largest_exact_total(weights, caps) if total_tokens is None else sum(r.available or 0 for r in sources) if total_tokens == "available" else total_tokens
         amount = water_fill(weights, caps, total)
         whole_weight = sum(weights.values())
         for r in sources:
@@ -92,7 +98,7 @@ def plan_mix(spark: SparkSession, sums: DataFrame, targets: DataFrame, total_tok
     return spark.createDataFrame(out, _PLAN)
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = 42) -> DataFrame:
     """``mix_name, doc_id, source, n_tokens, repeats``: the rows of each mix.
 
     ``documents`` has ``doc_id, source, n_tokens``.  Rows with a null in any of
@@ -100,14 +106,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     Targets that are null or not positive are left out, shares of a mix are
     taken in proportion to their sum, of a source given twice in a mix the
     shares are added and the smaller cap holds.  Without a total the largest
-    is taken at which every source has its share.  The same seed gives the
+    is taken at which every source has its share; with ``"available"`` it is
+    what the sources of the mix hold, and small ones are clamped.  The same seed gives the
     same rows, however the input is cut.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("n_tokens").cast("long").alias("n_tokens"))
     docs = docs.where("doc_id is not null and source is not null and n_tokens > 0")
-    wanted = targets.select("source").where("source is not null").distinct()
-    docs = docs.join(F.broadcast(wanted.limit(MAX_TARGETS)), "source", "left_semi")
+    wanted = cut(usable_targets(targets).select("source").distinct())
+    docs = docs.join(maybe_broadcast(wanted, wanted.count()), "source", "left_semi")
     place = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(2**40))
     docs = docs.withColumn("place", place).withColumn("part", (F.col("place") / 2**40 * RANGES).cast("int"))
     docs = cut(docs)
@@ -156,3 +163,33 @@ def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached."""
     return mix_report(p7_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of mixes as large as their sources: small sources are clamped, the others take the excess."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(mix(sized(spark, sf_dir), targets, "available"), targets)
+
+
+def _words_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    return docs.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("available"))
+
+
+def p7_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amounts of such mixes by words, which SQL can work out."""
+    plan = plan_mix(spark, _words_of_sources(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "available")
+    clamped = F.col("wanted") >= F.col("available") * F.col("max_repeats") - 1e-6
+    return plan.select("mix_name", "source", "available", F.round("wanted", 2).alias("wanted"), clamped.alias("clamped"))
+
+
+#: The amounts are those of one water level: of the sources in order of how soon they are full, the first few are.
+ORACLE = {
+    "p7_amounts": """WITH n AS (SELECT source, CAST(sum(len(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS BIGINT) AS available FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source),
+t AS (SELECT mix_name, source, target_share AS w, coalesce(available, 0) AS available, coalesce(available, 0) * max_repeats AS cap FROM mix_targets LEFT JOIN n USING (source)),
+o AS (SELECT *, row_number() OVER (PARTITION BY mix_name ORDER BY cap / w, source) AS k, sum(available) OVER (PARTITION BY mix_name) AS total FROM t),
+l AS (SELECT a.mix_name, a.k, a.cap / a.w AS full_at, any_value(a.total) - coalesce(sum(b.cap) FILTER (WHERE b.k < a.k), 0) AS rest, sum(b.w) FILTER (WHERE b.k >= a.k) AS w
+  FROM o a JOIN o b USING (mix_name) GROUP BY a.mix_name, a.k, a.cap, a.w),
+f AS (SELECT mix_name, min_by(rest / w, k) FILTER (WHERE rest / w <= full_at) AS level FROM l GROUP BY mix_name)
+SELECT mix_name, source, available, round(CASE WHEN level IS NULL OR cap <= level * w THEN cap ELSE level * w END, 2) AS wanted, (level IS NULL OR cap <= level * w) AS clamped FROM o JOIN f USING (mix_name)"""
+}

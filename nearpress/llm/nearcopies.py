@@ -3,12 +3,14 @@
 A document is the set of its runs of words; equal documents are joined to one
 class beforehand.  Each class gets a signature of ``COORDS`` tokens sampled by
 minwise hashing.  A run starts with all classes in one bucket; a bucket that is
-too large for brute force is split: the path so far chooses ``BRANCH``
-coordinates, and a class goes on into one bucket for each, named by the path,
-the coordinate and the sampled token.  Buckets of at most ``leaf`` classes are
+too large for brute force is split: the path so far chooses some coordinates,
+so many that a pair at the threshold is expected to share more than one of
+them, and a class goes on into one bucket for each, named by the path, the
+coordinate and the sampled token.  Buckets of at most ``leaf`` classes are
 compared pair by pair with a packed sketch, and what may reach the threshold
-is checked on the whole sets.  Runs are repeated until the target recall at
-the threshold is reached; above it recall is higher.
+is checked on the whole sets, in cells to which each set goes once.  Runs are
+repeated until the target recall at the threshold is reached, at whatever depth
+buckets end; above the threshold recall is higher.
 
 A bucket that splitting doesn't shrink (its classes are alike throughout) is
 compared at once in blocks, so no bucket is cut off and none is held in one
@@ -32,14 +34,19 @@ from nearpress.llm.common import cut, maybe_broadcast, table
 from nearpress.llm.lookalike import form_array, form_sql, words_sql
 
 COORDS = 64
-BRANCH = 2
+#: Coordinates a pair at the threshold shares on average of those a path chooses: above 1, or deep paths die out.
+SHARED = 1.2
 #: Classes up to which a bucket is compared pair by pair.
 LEAF = 64
 #: A bucket is stuck if it keeps this share of the bucket it comes from.
 STUCK = 0.6
 MAX_DEPTH = 24
+#: Rounds in which components have to settle; they need about the logarithm of the longest path.
+MAX_ROUNDS = 100
 #: Rows of a block in which large groups are compared.
 BLOCK = 1_000
+#: Runs of words of the sets of a cell in which pairs are checked, about; a set of more is one in a cell of its own.
+CELL_RUNS = 2_000_000
 #: Bytes of text taken at once in a Python worker.
 SLICE_BYTES = 4_000_000
 
@@ -89,12 +96,14 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, COORDS, np.uint64)
 
 
-def _signatures(min_words: int, run_words: int):
+def _signatures(min_words: int, run_words: int, short: bool):
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _multipliers()
         for ids, forms in _slices(batches):
             words, counts = _words(forms)
             ok = counts >= max(min_words, run_words)
+            if short and not ok.all():
+                yield _unsigned(ids.filter(pa.array(~ok)), forms.filter(pa.array(~ok)))
             if not ok.any():
                 continue
             runs, n = _runs(words, counts, run_words)
@@ -108,13 +117,13 @@ def _signatures(min_words: int, run_words: int):
             two = ((mixed >> np.uint32(30)) & np.uint32(3)).astype(np.uint64)
             shift = np.arange(32, dtype=np.uint64) * np.uint64(2)
             sketch = [(two[:, h : h + 32] << shift).sum(axis=1, dtype=np.uint64).view(np.int64) for h in (0, 32)]
-            keys = [xxhash.xxh3_128_intdigest(f) for f in forms.filter(pa.array(ok)).to_pylist()]
+            f0, f1 = _keys(forms.filter(pa.array(ok)))
             low = (mixed >> np.uint32(14)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.filter(pa.array(ok)).cast(pa.int64()),
-                    pa.array(np.array([k & (2**64 - 1) for k in keys], np.uint64).view(np.int64)),
-                    pa.array(np.array([k >> 64 for k in keys], np.uint64).view(np.int64)),
+                    f0,
+                    f1,
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * COORDS), len(n), [None, pa.py_buffer(np.ascontiguousarray(low).tobytes())]).cast(pa.binary()),
                     pa.array(sketch[0]),
                     pa.array(sketch[1]),
@@ -125,6 +134,19 @@ def _signatures(min_words: int, run_words: int):
     return op
 
 
+def _keys(forms: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Both halves of a 128-bit hash of each form."""
+    keys = [xxhash.xxh3_128_intdigest(f) for f in forms.to_pylist()]
+    return tuple(pa.array(np.array(half, np.uint64).view(np.int64)) for half in ([k & (2**64 - 1) for k in keys], [k >> 64 for k in keys]))
+
+
+def _unsigned(ids: pa.Array, forms: pa.Array) -> pa.RecordBatch:
+    """Texts too short to be compared: they have equals only."""
+    f0, f1 = _keys(forms)
+    none = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), f0, f1, pa.nulls(len(ids), pa.binary()), none, none], names=["id", "f0", "f1", "sig", "s0", "s1"])
+
+
 def _sets(run_words: int):
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, forms in _slices(batches):
@@ -138,16 +160,25 @@ def _sets(run_words: int):
     return op
 
 
+def branches(threshold: float) -> int:
+    """Coordinates a path chooses."""
+    if not 0.05 <= threshold <= 1:
+        raise ValueError(f"a threshold is 0.05 to 1, not {threshold}")
+    return math.ceil(SHARED / threshold - 1e-9)
+
+
 def survival(threshold: float, depth: int) -> float:
     """Chance that a pair at the threshold shares a path of that depth in one run."""
     q = 1.0
     for _ in range(depth):
-        q = 1 - (1 - threshold * q) ** BRANCH
+        q = 1 - (1 - threshold * q) ** branches(threshold)
     return q
 
 
-def runs_needed(threshold: float, recall: float, depth: int = 4) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
+def runs_needed(threshold: float, recall: float, depth: int | None = None) -> int:
+    """Runs for the recall at the threshold, for buckets that end at the deepest level if none is given."""
+    missed = 1 - survival(threshold, MAX_DEPTH if depth is None else depth)
+    return 1 if missed <= 1 - recall else math.ceil(math.log(1 - recall) / math.log(missed))
 
 
 def least_matches(threshold: float) -> int:
@@ -164,12 +195,13 @@ def _equal_coords() -> Column:
     return F.lit(COORDS) - differ("s0") - differ("s1")
 
 
-def _children(rows: DataFrame) -> DataFrame:
+def _children(rows: DataFrame, n: int) -> DataFrame:
     """The buckets a row goes on into: ``id, path, from_n, s0, s1``."""
-    i = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDS)).cast("int")
-    j = F.pmod(i + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
+    i = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDS))
+    by = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(COORDS // 2)) * 2 + 1  # odd, so that no coordinate comes twice
+    at = [F.pmod(i + by * k, F.lit(COORDS)).cast("int") for k in range(n)]
     step = lambda c: F.xxhash64("path", c, F.substring("sig", c * 2 + 1, F.lit(2)))
-    return rows.select("id", F.explode(F.array(step(i), step(j))).alias("path"), "from_n", "s0", "s1")
+    return rows.select("id", F.explode(F.array(*map(step, at))).alias("path"), "from_n", "s0", "s1")
 
 
 def block_pairs(rows: DataFrame, key: list[str], size: str, keep: list[str], block: int = BLOCK) -> DataFrame:
@@ -202,7 +234,7 @@ def candidate_pairs(classes: DataFrame, threshold: float, recall: float, leaf: i
     rows = classes.select("id", "sig", runs.alias("path"), F.lit(classes.count()).cast("long").alias("from_n"), "s0", "s1")
     found = []
     for depth in range(1, MAX_DEPTH + 1):
-        buckets = _children(rows)
+        buckets = _children(rows, branches(threshold))
         if depth > 1:  # later levels are small beside the first; the first is cheaper made anew than kept
             buckets = cut(buckets)
         counts = buckets.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
@@ -225,8 +257,46 @@ def candidate_pairs(classes: DataFrame, threshold: float, recall: float, leaf: i
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _similar(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Similarities of the pairs of a cell; ``right`` has each set of the cell once."""
+    names = ["id_a", "id_b", "similarity"]
+    if not left.num_rows or not right.num_rows:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+    runs = right.column("runs").combine_chunks()
+    flat, offsets = runs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    at = {k: i for i, k in enumerate(right.column("id").to_pylist())}
+    out = []
+    for a, b in zip(left.column("id_a").to_pylist(), left.column("id_b").to_pylist()):
+        x, y = (flat[offsets[at[k]] : offsets[at[k] + 1]] for k in (a, b))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / (len(x) + len(y) - both))
+    return pa.table([left.column("id_a").combine_chunks(), left.column("id_b").combine_chunks(), pa.array(out, pa.float64())], names=names)
+
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id_a, id_b, similarity`` of pairs of ids whose sets are in ``id, runs``.
+
+    Pairs are put into cells by the hash of their ends; a cell whose sets would
+    be more than ``CELL_RUNS`` is split by the hash of its pairs.  A set goes to
+    each of its cells once, however many pairs it has there, and an id with
+    many pairs is spread over cells.
+    """
+    sizes = sets.select("id", F.size("runs").alias("n")).distinct()
+    side = max(1, math.ceil(math.sqrt((sizes.agg(F.sum("n")).first()[0] or 0) / CELL_RUNS)))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(side)).cast("int")
+    of = lambda c: sizes.select(F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"))
+    placed = pairs.select("id_a", "id_b").join(of("a"), "id_a").join(of("b"), "id_b")
+    placed = cut(placed.select("id_a", "id_b", (part("id_a") * side + part("id_b")).alias("cell"), (F.col("n_a") + F.col("n_b")).alias("n")))
+    weight = placed.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_RUNS).alias("split"))
+    placed = placed.join(maybe_broadcast(weight, side * side), "cell")
+    placed = cut(placed.select("id_a", "id_b", "cell", F.pmod(F.xxhash64("id_a", "id_b"), F.col("split")).alias("sub")))
+    ends = placed.select("cell", "sub", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    there = ends.join(sets, "id").select(F.col("cell").alias("c"), F.col("sub").alias("s"), F.col("id").alias("id"), F.col("runs").alias("runs"))
+    return placed.groupBy("cell", "sub").cogroup(there.groupBy("c", "s")).applyInArrow(_similar, "id_a long, id_b long, similarity double")
+
+
 def near_copies(
-    texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, run_words: int = 5, min_words: int = 0, recall: float = 0.99, leaf: int = LEAF
+    texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, run_words: int = 5, min_words: int = 0, recall: float = 0.99, leaf: int = LEAF, all_texts: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Members of the classes of equal texts, and the links between classes.
 
@@ -234,33 +304,33 @@ def near_copies(
     the share of distinct runs of ``run_words`` words that are in both of those
     in either.  Returns ``id, class_id, class_n`` (the class of equal forms is
     named by its least id) and ``id_a, id_b, similarity`` of class ids: nothing is lost,
-    as equal texts have the same links.  Null
-    ids and texts and texts of fewer words than ``min_words`` or ``run_words``
-    are in neither.  Ids are taken to be unique (a row
+    as equal texts have the same links.  Null ids are in neither.  Null texts
+    and texts of fewer words than ``min_words`` or ``run_words`` have no links
+    and are no members, unless ``all_texts`` asks for them: then equal short
+    texts are one class, and a null text is one of its own.  Ids are taken to be unique (a row
     given twice counts twice, and is no pair with itself); other columns are
     ignored, empty tables give empty results.
     """
     base = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, f0 long, f1 long, sig binary, s0 long, s1 long"
-    signed = cut(base.mapInArrow(_signatures(min_words, run_words), schema))
+    signed = cut(base.mapInArrow(_signatures(min_words, run_words, all_texts), schema))
     same = signed.groupBy("f0", "f1").agg(F.min("id").alias("class_id"), F.count("*").alias("class_n"))
     many = cut(same.where("class_n > 1"))
     copies = signed.join(maybe_broadcast(many, many.count()), ["f0", "f1"]).select("id", "class_id", "class_n")
     copies = cut(copies)
     spare = copies.where("id <> class_id").select("id")
-    classes = signed.join(maybe_broadcast(spare, spare.count()), "id", "left_anti").select("id", "sig", "s0", "s1")
+    classes = signed.join(maybe_broadcast(spare, spare.count()), "id", "left_anti").where("sig is not null").select("id", "sig", "s0", "s1")
     pairs = cut(candidate_pairs(classes, threshold, recall, leaf))
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     chosen = base.join(maybe_broadcast(ids, pairs.count() * 2), "id", "left_semi")
     sets = cut(chosen.mapInArrow(_sets(run_words), "id long, runs array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("runs").alias("runs_a")), "id_a")
-    both = both.join(sets.select(F.col("id").alias("id_b"), F.col("runs").alias("runs_b")), "id_b")
-    shared = F.size(F.array_intersect("runs_a", "runs_b"))
-    similarity = shared / (F.size("runs_a") + F.size("runs_b") - shared)
-    links = both.select("id_a", "id_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    links = similarities(pairs, sets).where(F.col("similarity") >= threshold - 1e-12)
     members = signed.select("id").join(spare, "id", "left_anti")
     members = members.join(copies, "id", "left_anti").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_n"))
-    return members.unionByName(copies), cut(links)
+    members = members.unionByName(copies)
+    if all_texts:
+        members = members.unionByName(base.where("id is not null and text is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_n")))
+    return members, cut(links)
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -284,7 +354,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = cut(edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(64):
+    for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -296,6 +366,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components haven't settled after {MAX_ROUNDS} rounds")
     top = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     roots = top.select(F.col("component").alias("id"), "component").distinct()
     return top.unionByName(roots).distinct()
@@ -331,7 +403,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each document at the common measure: five-word runs, 0.8."""
-    return groups(*near_copies(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return groups(*near_copies(table(spark, sf_dir, "documents"), "doc_id", "text", all_texts=True)).withColumnRenamed("id", "doc_id")
 
 
 ORACLE = {

@@ -6,9 +6,10 @@ into the one with the least space that holds it, and when there are too many
 open ones the fullest closes.  Only a text larger than the capacity is split:
 into full containers and a rest that is packed like any other item.
 
-The containers a task leaves open are packed again, whole, over fewer and
-fewer tasks until one is left, so that the number of underfull containers
-doesn't grow with the number of tasks.
+Containers a task leaves open and not nearly full are packed again, whole, in
+groups of a bounded number of tasks.  A group passes on at most as many open
+containers as a task, the emptiest; so no task ever holds more than
+``FAN_IN * OPEN_BINS`` of a capacity, however many tasks there are.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from nearpress.llm.tokens import TOKENIZER, token_count
 
 #: Open containers of each capacity in a task.
 OPEN_BINS = 64
-#: Tasks whose open containers are packed again in one task.
+#: Tasks whose open containers are packed again in one group.
 FAN_IN = 32
+#: Share of the capacity from which an open container is full enough to be left as it is.
+FULL = 0.95
+MOST_PARTITIONS = 2_000
 
 
 class BestFit:
@@ -105,37 +109,56 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _repack(capacity: dict[str, int], limit: int, last: bool):
-    """Packs open containers as items; a row maps a container to the one it goes into.
+def repacked(rows: list[tuple[str, int]], capacity: int, limit: int) -> list[tuple[str, str, int, bool]]:
+    """``name, top, size, goes_on`` for open containers packed as items.
 
-    In a last pass nothing stays open, so there is no limit.
+    ``rows`` are names and sizes; ``top`` names the container one goes into and
+    ``size`` is what that holds.  Of what isn't full the ``limit`` emptiest go on.
     """
+    fit, first, used, into = BestFit(capacity, max(1, len(rows))), {}, {}, []
+    for name, size in sorted(rows, key=lambda r: (-r[1], r[0])):
+        at = fit.add(size)
+        into.append((name, first.setdefault(at, name)))
+        used[first[at]] = used.get(first[at], 0) + size
+    low = sorted((size, top) for top, size in used.items() if size < FULL * capacity)[:limit]
+    on = {top for _, top in low}
+    return [(name, top, used[top], top in on) for name, top in into]
 
+
+_STEP = "container_kind string, name string, top string, size long, goes_on boolean"
+
+
+def _repack(capacity: dict[str, int], limit: int):
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fits: dict[str, BestFit] = {}
-        first: dict[tuple[str, int], str] = {}
-        used: dict[tuple[str, int], int] = {}
-        kinds, names, tops, rows = [], [], [], []
+        groups: dict[tuple[str, int], list] = {}
         for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns))
-        rows.sort(key=lambda r: (r[0], -r[2], r[1]))  # the fullest first; bounded by FAN_IN tasks of OPEN_BINS
-        for kind, name, size in rows:
-            f = fits.setdefault(kind, BestFit(capacity[kind], len(rows) if last else max(limit, len(rows))))
-            at = (kind, f.add(size))
-            kinds.append(kind)
-            names.append(name)
-            tops.append(first.setdefault(at, name))
-            used[at] = used.get(at, 0) + size
-        at_top = {(k, top): used[k, n] for (k, n), top in first.items()}
-        sizes = [at_top[k, t] for k, t in zip(kinds, tops)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(tops, pa.string()), pa.array(sizes, pa.int64())],
-            names=["container_kind", "name", "top", "size"],
-        )
+            for kind, group, name, size in zip(*(c.to_pylist() for c in batch.columns)):
+                groups.setdefault((kind, group), []).append((name, size))
+        for (kind, _), rows in groups.items():
+            names, tops, sizes, on = zip(*repacked(rows, capacity[kind], limit))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(tops, pa.string()), pa.array(sizes, pa.int64()), pa.array(on, pa.bool_())],
+                names=["container_kind", "name", "top", "size", "goes_on"],
+            )
 
     return op
 
 
+def packed_again(level: DataFrame, capacity: dict[str, int], tasks: int, limit: int) -> DataFrame:
+    """``name, top``: where open containers (``container_kind, name, size``) go."""
+    moved, n = None, tasks
+    while True:
+        n = -(-n // FAN_IN)
+        # a group has the open containers of about FAN_IN tasks, by the hash of their names
+        level = level.select("container_kind", F.pmod(F.xxhash64("name"), F.lit(n)).alias("group"), "name", "size")
+        step = cut(level.repartition(min(n * len(capacity), MOST_PARTITIONS), "container_kind", "group").mapInArrow(_repack(capacity, limit), _STEP))
+        hop = step.select("name", "top")
+        moved = hop if moved is None else moved.join(hop.select(F.col("name").alias("top"), F.col("top").alias("next")), "top", "left").select("name", F.coalesce("next", "top").alias("top"))
+        if n == 1:
+            return cut(moved.where("name <> top"))
+        level = step.where("goes_on").select("container_kind", F.col("top").alias("name"), "size").distinct()
+
+
 def pack(items: DataFrame, containers: DataFrame, limit: int = OPEN_BINS) -> DataFrame:
     """``container_kind, container_id, doc_id, part_no, first_token, n_tokens``.
 
@@ -160,18 +183,8 @@ def pack(items: DataFrame, containers: DataFrame, limit: int = OPEN_BINS) -> Dat
     if of_kind is None:
         return packed.select("container_kind", F.col("name").alias("container_id"), "doc_id", "part_no", "first_token", "n_tokens").where("doc_id is not null")
     level = opened.select("container_kind", "name", (of_kind[F.col("container_kind")] - F.col("free")).alias("size"))
-    moved = None
-    n = packed.rdd.getNumPartitions()
-    while True:
-        n = -(-n // FAN_IN)
-        # a group of FAN_IN tasks by the hash of the container's name, so that each task gets about as many
-        step = cut(level.repartition(n, F.xxhash64("name")).mapInArrow(_repack(capacity, limit, n == 1), "container_kind string, name string, top string, size long"))
-        hop = step.select("name", "top")
-        moved = hop if moved is None else moved.join(hop.select(F.col("name").alias("top"), F.col("top").alias("next")), "top", "left").select("name", F.coalesce("next", "top").alias("top"))
-        if n == 1:
-            break
-        level = step.select("container_kind", F.col("top").alias("name"), "size").distinct()
-    moved = cut(moved)
+    level = level.where(F.col("size") < of_kind[F.col("container_kind")] * FULL)
+    moved = packed_again(level, capacity, packed.rdd.getNumPartitions(), limit)
     rows = packed.where("doc_id is not null").join(maybe_broadcast(moved, moved.count()), "name", "left")
     return rows.select("container_kind", F.coalesce("top", "name").alias("container_id"), "doc_id", "part_no", "first_token", "n_tokens")
 
@@ -186,9 +199,36 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
 
 
+def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """``container_kind, capacity_tokens, n_containers, n_tokens, fill`` of what ``pack`` returns.
+
+    Of a kind given twice the largest capacity counts, as in ``pack``.
+    """
+    out = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"))
+    kinds = containers.groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
+    out = out.join(kinds, "container_kind")
+    return out.select("container_kind", "capacity_tokens", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used of each kind, tokens in them and the share of room filled."""
-    rows = p6_packed(spark, sf_dir)
-    out = rows.groupBy("container_kind").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    out = out.join(F.broadcast(table(spark, sf_dir, "containers").dropDuplicates(["container_kind"]).limit(1_000)), "container_kind")
-    return out.select("container_kind", "capacity_tokens", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
+    return fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p6_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packing by words, which SQL can count: texts, parts, words and overfull containers of each kind."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    items = docs.select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("n_tokens"))
+    containers = table(spark, sf_dir, "containers")
+    packed = cut(pack(items, containers))
+    room = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).join(containers, "container_kind")
+    over = room.groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_over"))
+    texts = packed.groupBy("container_kind").agg(F.countDistinct("doc_id").alias("n_texts"), F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_words"))
+    return texts.join(over, "container_kind")
+
+
+ORACLE = {
+    "p6_words": """WITH s AS (SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT container_kind, count(*) AS n_texts, CAST(sum(greatest(1, (n + capacity_tokens - 1) // capacity_tokens)) AS BIGINT) AS n_parts, CAST(sum(n) AS BIGINT) AS n_words, 0::BIGINT AS n_over
+FROM s, containers GROUP BY container_kind"""
+}

@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from nearpress.functions.htmltree import Node, Text, parse
-from nearpress.llm.stuffing import FUNCTION_WORDS
 
 #: Elements that don't part text into blocks.
 INLINE = frozenset("a abbr acronym b bdo big cite code del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -27,7 +29,6 @@ PAGE_TYPES = "article category grok wiki disambiguation user tag section product
 #: Places of hashed attribute tokens.
 ATTR_PLACES = 24
 
-_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 _WORD = re.compile(r"[^\W\d_]+")
 _VISIBLE = re.compile(r"[^\s ​‌‍⁠﻿­]")
 _TOKENS = re.compile(r"[a-z]+")
@@ -62,6 +63,7 @@ def _lines_of(source: str, starts: list[int], t: Text) -> set[int]:
 
 def _fill(node: Node, block: Block, source: str, starts: list[int]) -> None:
     """Adds the children of an element to its block; iterative, for deep pages."""
+    holds = _holds_blocks(node)
     todo: list[tuple[Node, Block]] = [(node, block)]
     while todo:
         node, block = todo.pop()
@@ -83,7 +85,7 @@ def _fill(node: Node, block: Block, source: str, starts: list[int]) -> None:
                 block.n_tags += 1
                 if child.name == "br" or child.name == "hr":
                     run = None
-                elif child.name in INLINE and not _holds_blocks(child):
+                elif child.name in INLINE and id(child) not in holds:
                     if child.name in ("span", "small", "strong") and run is not None and _starts_line(child, source):
                         run = None  # one below the other they are paragraphs of their own
                     if run is None:
@@ -100,12 +102,22 @@ def _starts_line(node: Node, source: str) -> bool:
     first = next(node.texts(), None)
     if first is None:
         return False
-    tag = source.rfind(f"<{node.name}", 0, first.start)
-    return tag >= 0 and (tag == 0 or source[:tag].rstrip(" \t\r")[-1:] in ("\n", ""))
+    tag = source.rfind(f"<{node.name}", 0, first.start) - 1
+    while tag >= 0 and source[tag] in " \t\r":
+        tag -= 1
+    return tag == -1 or (tag >= 0 and source[tag] == "\n")
+
+
+def _holds_blocks(node: Node) -> set[int]:
+    """The inline elements below that hold a block, by identity; worked out from below in one pass."""
+    out: set[int] = set()
+    for n in reversed(list(node.elements())):
+        if n is not node and (id(n) in out or (n.name not in INLINE and n.name not in _PLAIN)):
+            out.add(id(n.parent))
+    return out
 
 
-def _holds_blocks(node: Node) -> bool:
-    return any(n.name not in INLINE and n.name not in ("br", "img", "wbr", "input") and n.name not in HIDDEN for n in node.elements() if n is not node)
+_PLAIN = HIDDEN | {"br", "img", "wbr", "input"}
 
 
 def _attrs(node: Node) -> str:
@@ -130,10 +142,7 @@ def _tidy(block: Block) -> Block:
 
 def page_tree(source: str) -> Block:
     """The tree of blocks of a page."""
-    starts = [0]
-    for i, ch in enumerate(source):
-        if ch == "\n":
-            starts.append(i + 1)
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
     root = Block("html", None)
     if "<" in source and re.search(r"<[a-zA-Z!/]", source):
         for body in parse(source).children:
@@ -172,123 +181,170 @@ def page_kind(page_type: str | None) -> str:
     return (page_type or "").strip().lower()
 
 
-#: Names of what is measured of the text of a node.
+#: Names of what is measured of the text of a node; the last six by the scores of words.
 TEXT_FEATURES = (
-    "words chars final link_share upper_share function_share digits colons bars angles commas quotes item "
+    "words chars final link_share upper_share short_share digits colons bars angles commas quotes item "
     "score_mean score_min score_max known_share first_score"
 ).split()
+_SCORE = TEXT_FEATURES.index("score_mean")
+
+
+def text_features(texts: list[str], linked: np.ndarray, scores: dict[str, float]) -> np.ndarray:
+    """A row for each text, of all texts at once."""
+    spaced = pc.utf8_trim_whitespace(pc.replace_substring_regex(pa.array(texts, pa.string()), r"\s+", " "))
+    number = lambda x: x.to_numpy(zero_copy_only=False).astype(float)
+    count = lambda pattern: number(pc.count_substring_regex(spaced, pattern))
+    has = lambda pattern: number(pc.match_substring_regex(spaced, pattern))
+    chars = number(pc.utf8_length(spaced))
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.replace_substring_regex(spaced, r"[^\p{L}]+", " ")))
+    of, words = pc.list_parent_indices(split).to_numpy(zero_copy_only=False), split.flatten()
+    there = pc.not_equal(pc.binary_length(words), 0)
+    coded, of = words.filter(there).dictionary_encode(), of[there.to_numpy(zero_copy_only=False)]
+    n = np.bincount(of, minlength=len(texts)).astype(float)
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    short = np.bincount(of, (number(pc.utf8_length(coded.dictionary)) <= 3)[codes] if len(codes) else None, minlength=len(texts))
+    out = np.zeros((len(texts), len(TEXT_FEATURES)))
+    some = np.maximum(n, 1)
+    out[:, :_SCORE] = np.column_stack([
+        n, chars, np.where(has(r"[.!?…]$") > 0, 2.0, has(r"[”\"»“)]$")), linked / np.maximum(chars, 1), count(r"(?:^|[^\p{L}])\p{Lu}") / some, short / some, count("[0-9]"),
+        count(":"), count(r"\|"), count(">"), count(","), count("[“”„«»\"]"), has("^[-*•] "),
+    ])
+    if scores and len(codes):
+        of_word = np.array([scores.get(w, np.nan) for w in names])[codes]
+        known = ~np.isnan(of_word)
+        at, value = of[known], of_word[known]
+        n_known = np.bincount(at, minlength=len(texts))
+        low, high = np.full(len(texts), np.inf), np.full(len(texts), -np.inf)
+        np.minimum.at(low, at, value)
+        np.maximum.at(high, at, value)
+        first = np.zeros(len(texts))
+        first[of[::-1]] = np.nan_to_num(of_word[::-1])  # of several the first word's is written last
+        seen = n_known > 0
+        out[:, _SCORE:] = np.column_stack([np.bincount(at, value, minlength=len(texts)) / np.maximum(n_known, 1), np.where(seen, low, 0), np.where(seen, high, 0), n_known / some, first])
+    return out
 
 
-def _text_features(text: str, linked: int, scores: dict[str, float]) -> list[float]:
-    s = " ".join(text.split())
-    words = _WORD.findall(s)
-    n = len(words)
-    lower = [w.lower() for w in words]
-    known = [scores[w] for w in lower if w in scores]
-    return [
-        n, len(s), 2.0 if s[-1:] in ".!?…" else 1.0 if s[-1:] in "”\"»“)" else 0.0, linked / max(1, len(s)), sum(w[0].isupper() for w in words) / max(1, n),
-        sum(w in _FUNCTION for w in lower) / max(1, n), sum(ch.isdigit() for ch in s), s.count(":"), s.count("|"), s.count(">"), s.count(","),
-        sum(s.count(q) for q in "“”„«»\""), float(s[:2] in ("- ", "* ", "• ")),
-        sum(known) / len(known) if known else 0.0, min(known, default=0.0), max(known, default=0.0), len(known) / max(1, n), scores.get(lower[0], 0.0) if lower else 0.0,
-    ]
+@lru_cache(maxsize=4_096)
+def _places(attrs: str) -> tuple[int, ...]:
+    return tuple({zlib.crc32(t.encode()) % ATTR_PLACES for t in _TOKENS.findall(attrs) if len(t) > 2})
 
 
 def features(root: Block, page_type: str | None, scores: dict[str, float]) -> tuple[list[Block], np.ndarray]:
     """The blocks of a page and a row of features for each."""
-    blocks = walk(root)
+    (blocks,), rows = batch_features([(root, page_type)], scores)
+    return blocks, rows
+
+
+def batch_features(pages: list[tuple[Block, str | None]], scores: dict[str, float]) -> tuple[list[list[Block]], np.ndarray]:
+    """The blocks of each page, and a row of features for each block of all pages.
+
+    Blocks are in document order, so what is below one is the run that follows
+    it: sums are differences of running sums, and work is in proportion to the
+    number of blocks.
+    """
+    of_page = [walk(root) for root, _ in pages]
+    blocks = [b for page in of_page for b in page]
     n = len(blocks)
+    sizes = np.array([len(page) for page in of_page], np.int64)
+    page = np.repeat(np.arange(len(pages)), sizes)
+    base = (np.cumsum(sizes) - sizes)[page]
+    index = np.arange(n)
+    parent = np.fromiter((b.parent.index if b.parent else 0 for b in blocks), np.int64, n) + base
+    depth = np.fromiter((b.depth for b in blocks), float, n)
+    n_tags = np.fromiter((b.n_tags for b in blocks), float, n)
+    leaf = np.fromiter((b.text is not None for b in blocks), bool, n)
+    tags = np.fromiter((_TAG_PLACE.get(b.tag, len(TAGS)) for b in blocks), np.int64, n)
+    below = [1] * n
+    up = parent.tolist()
+    for i in range(n - 1, -1, -1):
+        if up[i] != i:
+            below[up[i]] += below[i]
+    end = index + np.array(below, np.int64)
+    leaves = np.flatnonzero(leaf)
     n_text = len(TEXT_FEATURES)
     own = np.zeros((n, n_text))
-    leaf = np.zeros(n, bool)
-    for b in blocks:
-        if b.text is not None:
-            leaf[b.index] = True
-            own[b.index] = _text_features(b.text, b.linked, scores)
-    leaves = np.flatnonzero(leaf)
-    parent = np.array([b.parent.index if b.parent else 0 for b in blocks])
-    # inner nodes: sums over the leaves below, children before parents
-    count, total = leaf.astype(float), np.where(leaf[:, None], own, 0.0)
-    finals, short, items, links = ((leaf & m).astype(float) for m in (own[:, 2] > 0, own[:, 0] <= 4, np.array([b.tag in ("li", "#line") for b in blocks]), own[:, 3] > 0.8))
-    first = np.where(leaf, np.arange(n), -1)
-    h1 = np.array([b.tag == "h1" and b.text is not None for b in blocks])
-    has_h1 = h1.astype(float)
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        for a in (count, finals, short, items, links):
-            a[p] += a[i]
-        total[p] += total[i]
-        has_h1[p] = max(has_h1[p], has_h1[i])
-        if first[i] >= 0:
-            first[p] = first[i]
-    tags = np.array([TAGS.index(b.tag) if b.tag in TAGS else len(TAGS) for b in blocks])
-    depth = np.array([b.depth for b in blocks], float)
-    n_tags = np.array([b.n_tags for b in blocks], float)
+    if len(leaves):
+        own[leaves] = text_features([blocks[i].text for i in leaves], np.array([blocks[i].linked for i in leaves], float), scores)
+    # sums over the leaves below
+    h1 = leaf & (tags == _TAG_PLACE["h1"])
+    listed = np.isin(tags, (_TAG_PLACE["li"], _TAG_PLACE["#line"]))
+    summed = np.column_stack([leaf, own[:, 0], own[:, _SCORE], *(leaf & m for m in (own[:, 2] > 0, own[:, 0] <= 4, listed, own[:, 3] > 0.8)), h1])
+    run = np.zeros((n + 1, summed.shape[1]))
+    np.cumsum(summed, axis=0, out=run[1:])
+    count, words, score, finals, short, items, links, heads = (run[end] - run[index]).T
+    rank_all = run[index, 0].astype(np.int64)  # leaves before, of all pages
+    first = np.full(n, -1)
+    holds = count > 0
+    first[holds] = leaves[rank_all[holds]]
     share = np.maximum(count, 1)
-    group = np.column_stack([count, total[:, 0], total[:, 0] / share, total[:, 0] / (n_tags + 1), finals / share, short / share, items / share, links / share, total[:, 13] / share, has_h1])
+    group = np.column_stack([count, words, words / share, words / (n_tags + 1), finals / share, short / share, items / share, links / share, score / share, heads > 0])
     # place among the leaves, and from the first heading
-    rank = np.searchsorted(leaves, np.arange(n))
-    h1_rank = rank[np.flatnonzero(h1)[0]] if h1.any() else -1
-    place = np.column_stack([rank, rank / max(1, len(leaves)), rank - h1_rank if h1_rank >= 0 else np.full(n, -99.0), np.full(n, float(len(leaves)))])
+    rank = rank_all - rank_all[base]
+    n_leaves = count[base]
+    h1_rank = np.full(len(pages), -1)
+    at = np.flatnonzero(h1)
+    h1_rank[page[at][::-1]] = rank[at][::-1]
+    h1_rank = h1_rank[page]
+    place = np.column_stack([rank, rank / np.maximum(1, n_leaves), np.where(h1_rank >= 0, rank - h1_rank, -99.0), n_leaves])
+    # children of one parent, one after another
+    child = np.flatnonzero(parent != index)
+    child = child[np.argsort(parent[child], kind="stable")]
+    of = parent[child]
+    new = np.concatenate(([True], of[1:] != of[:-1]))[: len(child)]
+    starts = np.flatnonzero(new)
+    number = np.arange(len(child)) - np.repeat(starts, np.diff(np.append(starts, len(child))))
+    _, kind, alike = np.unique(of * (len(TAGS) + 1) + tags[child], return_inverse=True, return_counts=True)
+    same = np.zeros(len(child), bool)
+    same[1:] = ~new[1:] & (tags[child[1:]] == tags[child[:-1]])
     sibling = np.zeros((n, 5))
+    sibling[child] = np.column_stack([number, np.bincount(of, minlength=n)[of], alike[kind], same, np.append(same[1:], False)[: len(child)]])
     before, after = np.full(n, -1), np.full(n, -1)
-    for b in blocks:
-        kids = b.children
-        for k, c in enumerate(kids):
-            i = c.index
-            run = [x.tag == c.tag for x in kids]
-            sibling[i] = (k, len(kids), sum(run), k > 0 and run[k - 1], k + 1 < len(kids) and run[k + 1])
-            before[i] = kids[k - 1].index if k else -1
-            after[i] = kids[k + 1].index if k + 1 < len(kids) else -1
+    before[child[1:]] = np.where(new[1:], -1, child[:-1])
+    after[child[:-1]] = np.where(new[1:], -1, child[1:])
     # the last line without a full stop that could head what follows: its scores
-    head = np.zeros((n, 4))
-    last, since = np.zeros(n_text), 99.0
-    for i in range(n):
-        head[i] = (last[13], last[14], last[0], since)
-        if leaf[i]:
-            since += 1
-            if tags[i] in _HEAD_TAGS or (own[i, 2] == 0 and own[i, 0] <= 6 and own[i, 12] == 0 and (i == 0 or first[parent[i]] == i)):
-                last, since = own[i], 0.0
+    first_in_parent = first[parent] == index
+    heading = leaf & (np.isin(tags, _HEAD_TAGS) | ((own[:, 2] == 0) & (own[:, 0] <= 6) & (own[:, 12] == 0) & (first_in_parent | (index == base))))
+    last = np.maximum.accumulate(np.where(heading, index, -1))
+    last = np.concatenate(([-1], last[:-1])) if n else last
+    there = last >= base
+    since = np.where(there, rank - rank[np.maximum(last, 0)] - 1, 99 + rank)
+    head = np.column_stack([np.where(there[:, None], own[np.maximum(last, 0)][:, [_SCORE, _SCORE + 1, 0]], 0.0), since])
     near_own, near_group = _near(before, own), _near(after, own)
     gb, ga, gp, gg = _near(before, group), _near(after, group), group[parent], group[parent[parent]]
     first_of_parent = own[np.maximum(first[parent], 0)][:, [0, 13, 14, 2]]
     first_own = own[np.maximum(first, 0)][:, [0, 13, 14, 2]]
-    top = _top(blocks, parent)
+    top = index.tolist()
+    for i, d in enumerate(depth.tolist()):
+        if d > 2:
+            top[i] = top[up[i]]
     tag_hot = np.zeros((n, len(TAGS) + 1))
-    tag_hot[np.arange(n), tags] = 1
-    prev_leaf = np.where(rank > 0, leaves[np.maximum(rank - 1, 0)] if len(leaves) else 0, 0)
-    next_rank = np.minimum(rank + leaf, max(0, len(leaves) - 1))
-    next_leaf = leaves[next_rank] if len(leaves) else np.zeros(n, int)
+    tag_hot[index, tags] = 1
+    any_leaf = len(leaves) > 0
+    prev_leaf = np.where(rank > 0, leaves[np.maximum(rank_all - 1, 0)] if any_leaf else 0, base)
+    last_of_page = rank_all[base] + n_leaves.astype(np.int64) - 1
+    next_leaf = leaves[np.clip(np.minimum(rank_all + leaf, last_of_page), 0, len(leaves) - 1)] if any_leaf else np.zeros(n, int)
     pick = [0, 2, 3, 12, 13, 14]
-    kind = page_kind(page_type)
     kinds = np.zeros((n, len(PAGE_TYPES) + 1))
-    kinds[:, PAGE_TYPES.index(kind) if kind in PAGE_TYPES else len(PAGE_TYPES)] = 1
-    attrs = np.zeros((n, 2 * ATTR_PLACES))
-    for b in blocks:
-        for shift, x in ((0, b), (ATTR_PLACES, b.parent)):
-            if x is not None:
-                for t in _TOKENS.findall(x.attrs):
-                    if len(t) > 2:
-                        attrs[b.index, shift + zlib.crc32(t.encode()) % ATTR_PLACES] = 1
+    kinds[index, np.array([_KIND_PLACE.get(page_kind(k), len(PAGE_TYPES)) for _, k in pages], np.int64)[page]] = 1
+    named: dict[str, int] = {}
+    code = np.fromiter((named.setdefault(b.attrs, len(named)) for b in blocks), np.int64, n)
+    places = np.zeros((len(named), ATTR_PLACES))
+    for attrs, k in named.items():
+        places[k, list(_places(attrs))] = 1
+    has_parent = (parent != index)[:, None]
     rows = np.column_stack(
         [
             leaf, depth, own, group, place, sibling, head, tags[parent], near_own[:, pick], near_group[:, pick], own[prev_leaf][:, pick], own[next_leaf][:, pick],
-            gb[:, [0, 2, 4, 8]], ga[:, [0, 2, 4, 8]], gp, gg, group[top], own[np.maximum(first[top], 0)][:, [0, 13, 14]], first_of_parent, first_own, tag_hot, kinds, attrs,
+            gb[:, [0, 2, 4, 8]], ga[:, [0, 2, 4, 8]], gp, gg, group[top], own[np.maximum(first[top], 0)][:, [0, 13, 14]], first_of_parent, first_own, tag_hot, kinds, places[code], places[code[parent]] * has_parent,
         ]
     )
-    return blocks, rows.astype(np.float32)
+    return of_page, rows.astype(np.float32)
 
 
-_HEAD_TAGS = frozenset(TAGS.index(t) for t in ("h1", "h2", "h3", "h4", "strong"))
+_TAG_PLACE = {t: k for k, t in enumerate(TAGS)}
+_KIND_PLACE = {t: k for k, t in enumerate(PAGE_TYPES)}
+_HEAD_TAGS = [_TAG_PLACE[t] for t in ("h1", "h2", "h3", "h4", "strong")]
 
 
 def _near(at: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where((at >= 0)[:, None], values[np.maximum(at, 0)], 0.0)
-
-
-def _top(blocks: list[Block], parent: np.ndarray) -> np.ndarray:
-    """For each block the ancestor two levels below the root, or itself."""
-    top = np.arange(len(blocks))
-    for b in blocks:
-        if b.depth > 2:
-            top[b.index] = top[parent[b.index]]
-    return top

@@ -21,10 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_forms": lookalike.p5_forms,
     "p6_packed": packing.p6_packed,
     "p6_fill": packing.p6_fill,
+    "p6_words": packing.p6_words,
     "p7_mixed": mixing.p7_mixed,
     "p7_report": mixing.p7_report,
+    "p7_filled": mixing.p7_filled,
+    "p7_amounts": mixing.p7_amounts,
     "p8_found": stuffing.p8_found,
     "p8_scores": stuffing.p8_scores,
 }
 
-ORACLES: dict[str, str] = {**nearcopies.ORACLE, **sitelines.ORACLE, **lookalike.ORACLE}
+ORACLES: dict[str, str] = {**nearcopies.ORACLE, **sitelines.ORACLE, **lookalike.ORACLE, **packing.ORACLE, **mixing.ORACLE}

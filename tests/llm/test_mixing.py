@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from nearpress.llm import mixing as M
 
-from ..conftest import SF
+from ..conftest import SF, rows
 
 DOCS = "doc_id long, source string, n_tokens long"
 TARGETS = "mix_name string, source string, target_share double, max_repeats int"
@@ -90,3 +90,29 @@ def test_one_place_for_many(spark):
 def test_queries(spark):
     got = M.p7_report(spark, SF).collect()
     assert len(got) == 17 and all(0 <= r.reached_share <= 1 for r in got)
+
+
+def test_mixes_as_large_as_their_sources(spark):
+    got = M.p7_filled(spark, SF).collect()
+    assert len(got) == 17 and any(r.reached_share < r.target_share - 0.02 for r in got) and any(r.reached_share > r.target_share + 0.02 for r in got)
+    caps = {(r.mix_name, r.source): r.max_repeats for r in M.table(spark, SF, "mix_targets").collect()}
+    assert all(r.most_repeats <= caps[r.mix_name, r.source] for r in got)
+
+
+def test_amounts_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "mix_targets"):
+        con.sql(f"create view {t} as select * from read_parquet('{SF.replace('0.001', '0.01')}/{t}.parquet')")
+    want = con.sql(M.ORACLE["p7_amounts"])
+    out = M.p7_amounts(spark, SF.replace("0.001", "0.01"))
+    assert rows(out.select(*want.columns)) == sorted((tuple(r) for r in want.fetchall()), key=repr)
+    assert out.where("clamped").count() > 0 and out.where("not clamped").count() > 0
+
+
+def test_targets_that_do_not_count_take_no_room(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_TARGETS", 2)
+    d = spark.createDataFrame([(1, "a", 10), (2, "b", 10)], DOCS)
+    t = spark.createDataFrame([("m", f"x{k}", 0.0, 1) for k in range(9)] + [("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], TARGETS)
+    assert {r.doc_id for r in M.mix(d, t).collect()} == {1, 2}

@@ -100,5 +100,40 @@ def test_groups_and_components(spark):
 
 
 def test_number_of_runs():
-    assert N.runs_needed(0.6, 0.99) == 5 and N.runs_needed(0.9, 0.99) < 5
+    assert N.runs_needed(0.6, 0.99, 4) == 5 and N.runs_needed(0.9, 0.99, 4) < 5
     assert 0.6 < N.survival(0.6, 4) < 0.7
+    # at whatever depth buckets end, and below a half too
+    for t in (0.1, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0):
+        assert 1 - (1 - N.survival(t, N.MAX_DEPTH)) ** N.runs_needed(t, 0.99) >= 0.99 and N.runs_needed(t, 0.99) < 20
+    with pytest.raises(ValueError):
+        N.branches(0.01)
+
+
+def test_low_thresholds(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = text(r, 60)
+        rows += [(2 * k, base), (2 * k + 1, edited(r, base, 14))]
+    want = brute(rows, 0.3, 3, 0)
+    got = found(spark, rows, threshold=0.3, run_words=3, leaf=4)
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
+
+
+def test_cells_are_split(spark, monkeypatch):
+    """One text linked to all others, and cells of few runs: every pair is checked once."""
+    monkeypatch.setattr(N, "CELL_RUNS", 200)
+    sets = spark.createDataFrame([(k, list(range(k, k + 50))) for k in range(80)], "id long, runs array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 80)] + [(k, k + 1) for k in range(1, 79)], "id_a long, id_b long")
+    got = {(r.id_a, r.id_b): r.similarity for r in N.similarities(pairs, sets).collect()}
+    assert len(got) == 157 and all(x == max(0, 50 - b + a) / (50 + min(50, b - a)) for (a, b), x in got.items())
+    assert N.similarities(pairs.limit(0), sets.limit(0)).count() == 0
+
+
+def test_every_document_has_a_group(spark):
+    rows = [(1, None), (2, ""), (3, " "), (4, "two words"), (5, "Two  words".replace("  ", " ")), (6, "a b c d e f"), (7, "A b c d e f"), (8, None), (None, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc long, body string")
+    got = {r.id: r.group_id for r in N.groups(*N.near_copies(df, "doc", "body", all_texts=True)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
+    docs = table(spark, SF, "documents").count()
+    assert N.p2_documents(spark, SF).count() == docs

@@ -6,7 +6,7 @@ from nearpress.llm import packing as P
 from nearpress.llm import tokens as T
 from nearpress.llm.common import table
 
-from ..conftest import SF
+from ..conftest import SF, rows
 
 
 def pack(spark, sizes, kinds, parts=1, **kw):
@@ -47,6 +47,27 @@ def test_open_containers_are_packed_again(spark, monkeypatch):
     assert len({r.container_id for r in out}) <= 20
 
 
+def test_groups_stay_bounded_however_many_tasks(spark, monkeypatch):
+    """The open containers of 2,048 tasks: no group has more than those of its tasks, and few go on."""
+    r = random.Random(3)
+    bins = [("s", f"s-{t}-{b}", r.randint(1, 900)) for t in range(2_048) for b in range(8)]
+    kept = []
+    monkeypatch.setattr(P, "cut", lambda df: kept.append(df.cache()) or kept[-1])
+    level = spark.createDataFrame(bins, "container_kind string, name string, size long")
+    moved = P.packed_again(level, {"s": 1_000}, 2_048, 8)
+    steps = kept[:-1]
+    assert len(steps) == 3
+    sizes = [s.count() for s in steps]
+    assert sizes[0] == len(bins) and sizes[1] <= 64 * 8 and sizes[2] <= 2 * 8
+    size = {n: x for _, n, x in bins}
+    into = {x.name: x.top for x in moved.collect()}
+    room = {}
+    for n in size:
+        room[into.get(n, n)] = room.get(into.get(n, n), 0) + size[n]
+    assert max(room.values()) <= 1_000 and len(room) < 0.75 * len(bins)
+    assert all(t not in into for t in into.values())
+
+
 def test_best_fit_equals_search_of_all_open():
     r = random.Random(7)
     for limit in (1, 3, 50):
@@ -78,6 +99,9 @@ def test_edges(spark):
     items = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (None, 5, "b"), (2, None, "c")], "doc_id long, n_tokens int, bin string")
     kinds = spark.createDataFrame([("s", 10)], "container_kind string, capacity_tokens int")
     assert [r.doc_id for r in P.pack(items, kinds).collect()] == [1, 1]
+    twice = spark.createDataFrame([("s", 5), ("s", 20), ("s", 10)], "container_kind string, capacity_tokens int")
+    got = P.fill(P.pack(items, twice), twice).first()
+    assert (got.capacity_tokens, got.n_containers, got.n_tokens, got.fill) == (20, 1, 10, 0.5)
 
 
 def test_tokens(spark):
@@ -95,3 +119,13 @@ def test_queries(spark):
     assert out.select("container_kind", "doc_id").distinct().count() == 4 * docs
     fill = {r.container_kind: r.fill for r in P.p6_fill(spark, SF).collect()}
     assert set(fill) == {"s", "m", "l", "xl"} and fill["s"] > 0.9
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "containers"):
+        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    want = con.sql(P.ORACLE["p6_words"])
+    assert rows(P.p6_words(spark, SF).select(*want.columns)) == sorted((tuple(r) for r in want.fetchall()), key=repr)
