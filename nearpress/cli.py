@@ -1,11 +1,13 @@
 """Command line: each command is a function that returns a DataFrame, and prints it.
 
     python -m nearpress.cli same-page FILE
-    python -m nearpress.cli heatmap FOLDER...
-    python -m nearpress.cli triangle-inequality FOLDER...
+    python -m nearpress.cli heatmap [FOLDER...]
+    python -m nearpress.cli triangle-inequality [FOLDER...]
     python -m nearpress.cli wiki-vs-grok FOLDER
-    python -m nearpress.cli bk-tree FOLDER... [--tolerance 0.25]
+    python -m nearpress.cli bk-tree [FOLDER...] [--tolerance 0.25]
     python -m nearpress.cli optimal-opts W1 G1 W2 G2
+
+Folders are looked for below ``--base`` (the current folder if not given).
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from nearpress.functions.article import article_content, GROK, WIKI
 from nearpress.operators import analytics, pairs, search, triangle
 from nearpress.session import cut, ordinal
 
-ZSTD = "zstd_recommended"
+CODEC = "brotli_recommended"
+#: The datasets of a command that is given none.
+DATASETS = ("euronews.com", "amazon", "imdb", "wikipedia")
 
 
 def same_page(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +47,7 @@ def _structures(spark: SparkSession, root: str) -> DataFrame:
 def heatmap(spark: SparkSession, root: str, codec: Spec | None = None) -> DataFrame:
     """Heatmap data of all pages of a dataset with all."""
     pages = _structures(spark, root)
-    square = pairs.mirrored(pairs.self_distances(pages, codec or Spec(ZSTD)).select("i", "j", "d"))
+    square = pairs.mirrored(pairs.self_distances(pages, codec or Spec(CODEC)).select("i", "j", "d"))
     return pairs.labelled(square, pages, pages)
 
 
@@ -51,7 +55,7 @@ def triangle_inequality(spark: SparkSession, root: str, codec: Spec | None = Non
     """Triples of pages, as they are, that break the triangle inequality."""
     rows = datasets.load(spark, root).where("text is not null")
     pages = cut(ordinal(rows.select("pos", "url", "text"), ["pos", "url"], out="id"))
-    return triangle.triangle_violations(pairs.self_distances(pages, codec or Spec(ZSTD)), strict)
+    return triangle.triangle_violations(pairs.self_distances(pages, codec or Spec(CODEC)), strict)
 
 
 def wiki_vs_grok(spark: SparkSession, root: str, codec: Spec | None = None, on_missing: str = "raise") -> DataFrame:
@@ -60,7 +64,7 @@ def wiki_vs_grok(spark: SparkSession, root: str, codec: Spec | None = None, on_m
     rows = cut(ordinal(datasets.extracted(rows, on_missing), ["pos", "url"], ["page_type"]))
     side = lambda kind: rows.where(F.col("page_type") == kind).select(F.col("i").alias("id"), "text", "label")
     wiki, grok = side("wiki"), side("grok")
-    found = pairs.cross_distances(wiki, grok, codec or Spec("brotli_recommended"))
+    found = pairs.cross_distances(wiki, grok, codec or Spec(CODEC))
     named = pairs.labelled(found.select("i", "j", "d"), wiki, grok)
     return named.withColumnRenamed("row_label", "wiki_label").withColumnRenamed("col_label", "grok_label")
 
@@ -72,16 +76,15 @@ def distribution(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bk_tree(spark: SparkSession, root: str, tolerance: float = 0.25, codec: Spec | None = None, n_pivots: int = 8) -> DataFrame:
-    """Brute and pruned range search of every page in all, in numbers."""
-    pages = _structures(spark, root)
-    found = cut(pairs.mirrored(pairs.self_distances(pages, codec or Spec(ZSTD)).select("i", "j", "d")))
-    d = found.select(F.col("i").alias("q"), F.col("j").alias("x"), "d")
-    brute = cut(search.first_match(d, tolerance))
-    chosen = search.pivot_positions(pages.count(), n_pivots)
-    tab = cut(search.pivot_table(d.where(F.col("q").isin(chosen))))
-    left = cut(search.prune(tab.withColumnRenamed("x", "q"), tab, tolerance))
-    hits = search.range_search(d.join(left, ["q", "x"], "left_semi"), tolerance)
-    calls = left.groupBy("q").agg((F.count("*") + len(chosen)).alias("calls"))
+    """Brute and pruned range search of every page in all, in numbers.
+
+    The pruned search measures only what its pivots don't rule out.
+    """
+    codec = codec or Spec(CODEC)
+    pages = _structures(spark, root).select(F.col("id").alias("x"), "text")
+    found = pairs.mirrored(pairs.self_distances(pages.withColumnRenamed("x", "id"), codec).select("i", "j", "d"))
+    brute = cut(search.first_match(found.select(F.col("i").alias("q"), F.col("j").alias("x"), "d"), tolerance))
+    hits, calls = search.indexed_search(pages, pages, codec, tolerance, n_pivots)
     return search.search_summary(brute, calls, search.divergence(brute, hits))
 
 
@@ -101,26 +104,29 @@ def optimal_opts(spark: SparkSession, w1: str, g1: str, w2: str, g2: str) -> Dat
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="nearpress")
+    parser.add_argument("--base", default=".")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("same-page").add_argument("file")
     for name in ("heatmap", "triangle-inequality", "bk-tree"):
-        commands.add_parser(name).add_argument("folders", nargs="+")
+        commands.add_parser(name).add_argument("folders", nargs="*", default=list(DATASETS))
     commands.choices["bk-tree"].add_argument("--tolerance", type=float, default=0.25)
     commands.add_parser("wiki-vs-grok").add_argument("folder")
     four = commands.add_parser("optimal-opts")
     for name in ("w1", "g1", "w2", "g2"):
         four.add_argument(name)
     a = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("nearpress").getOrCreate()
+    # checkpoints are removed once nothing refers to them
+    spark = SparkSession.builder.appName("nearpress").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
+    at = lambda path: os.path.join(a.base, path)
     if a.command == "same-page":
-        out = same_page(spark, os.path.abspath(a.file))
+        out = same_page(spark, os.path.abspath(at(a.file)))
     elif a.command == "wiki-vs-grok":
-        out = wiki_vs_grok(spark, a.folder)
+        out = wiki_vs_grok(spark, at(a.folder))
     elif a.command == "optimal-opts":
-        out = optimal_opts(spark, a.w1, a.g1, a.w2, a.g2)
+        out = optimal_opts(spark, *map(at, (a.w1, a.g1, a.w2, a.g2)))
     else:
         one = {"heatmap": heatmap, "triangle-inequality": triangle_inequality, "bk-tree": lambda s, f: bk_tree(s, f, a.tolerance)}[a.command]
-        out = reduce(DataFrame.unionByName, [one(spark, f).withColumn("dataset", F.lit(f)) for f in a.folders])
+        out = reduce(DataFrame.unionByName, [one(spark, at(f)).withColumn("dataset", F.lit(f)) for f in a.folders])
     out.show(1_000, truncate=False)
 
 

@@ -2,11 +2,49 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpress.codecs import Spec
+from nearpress.session import cut
+
+
+class Cache(Protocol):
+    """A memo of sizes by content, for ``cache=`` of the operators.
+
+    Texts are told apart by ``h0, h1``, 128 bits of hash, and sizes belong to
+    one codec with its parameters.
+    """
+
+    def known(self, spark: SparkSession, codec: Spec) -> DataFrame | None:
+        """``h0, h1, c`` of the texts whose sizes are known, each once; None if there are none."""
+
+    def store(self, sizes: DataFrame, codec: Spec) -> None:
+        """Keeps more of them; they aren't known yet."""
+
+
+class ParquetCache:
+    """Sizes kept in a folder, for more than one run."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _folder(self, codec: Spec) -> str:
+        return f"{self.path}/{codec.name}" + "".join(f"-{k}{v}" for k, v in sorted(codec.params.items()))
+
+    def known(self, spark: SparkSession, codec: Spec) -> DataFrame | None:
+        try:
+            return spark.read.schema("h0 long, h1 long, c long").parquet(self._folder(codec))
+        except Exception as e:  # nothing was stored yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def store(self, sizes: DataFrame, codec: Spec) -> None:
+        sizes.write.mode("append").parquet(self._folder(codec))
 
 
 def _column(c: Column | str) -> Column:
@@ -65,20 +103,29 @@ def scaled(d: Column | str) -> Column:
     return F.round(_column(d) * 10000).cast("long")
 
 
-def sizes_of(df: DataFrame, text: str, codec: Spec, out: str = "c", cache: bool = True) -> DataFrame:
+def sizes_of(df: DataFrame, text: str, codec: Spec, out: str = "c", cache: bool | Cache = True) -> DataFrame:
     """Adds the compressed size of a text column.
 
-    With ``cache`` each distinct text is compressed once: texts are told apart
-    by 128 bits of hash, one of each goes to the codec, and the size is joined
-    back by the hash, so no text is shuffled twice.
+    With a cache each distinct text is compressed once: texts are told apart by
+    128 bits of hash, one of each goes to the codec, and the size is joined
+    back by the hash, so no text is shuffled twice.  A ``Cache`` gives the sizes
+    it knows and is given the others; ``False`` compresses every row.
     """
-    if not cache:
+    if cache is False:
         return df.withColumn(out, compressed_size(text, codec))
-    key = F.struct(F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(7), text).alias("h1"))
-    keyed = df.withColumn("__key", key)
-    once = keyed.where(F.col(text).isNotNull()).select("__key", F.col(text).alias("__text")).dropDuplicates(["__key"])
-    sizes = once.select("__key", compressed_size("__text", codec).alias(out))
-    return keyed.join(sizes, "__key", "left").drop("__key")
+    keyed = df.withColumn("__h0", F.xxhash64(text)).withColumn("__h1", F.xxhash64(F.lit(7), text))
+    key = ["__h0", "__h1"]
+    once = keyed.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text"))
+    known = None if cache is True else cache.known(df.sparkSession, codec)
+    if known is not None:
+        known = cut(known.select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"), F.col("c").alias(out)).dropDuplicates(key))
+        once = once.join(known, key, "left_anti")
+    sizes = once.dropDuplicates(key).select(*key, compressed_size("__text", codec).alias(out))
+    if cache is not True:
+        sizes = cut(sizes)
+        cache.store(sizes.select(F.col("__h0").alias("h0"), F.col("__h1").alias("h1"), F.col(out).alias("c")), codec)
+        sizes = sizes if known is None else sizes.unionByName(known)
+    return keyed.join(sizes, key, "left").drop(*key)
 
 
 def cache_stats(df: DataFrame, text: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Distances of pairs of texts.
 
 A pair operator takes two sides with ``id`` and ``text``.  Both are cut into
-blocks of a fixed number of rows, the blocks meet in cells by an equi-join, and
-a cell is worked on as a whole: a Python worker gets each text of a cell once,
-not once a pair, and memory is bounded by two blocks.  Sizes of single texts
-are worked out before, once for each distinct text.
+blocks, the blocks meet in cells by an equi-join, and a cell is worked on as a
+whole: a Python worker gets each text of a cell once, not once a pair.  Blocks
+are as large as the pairs allow while every core still has cells to work on,
+and never of more than a number of bytes, so a large job moves each text less
+often and memory stays bounded.  Sizes of single texts are worked out before,
+once for each distinct text, or taken from a cache.
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearpress.codecs import Spec
-from nearpress.functions.distance import distance, pair_size, sizes_of
-from nearpress.session import cut
+from nearpress.functions.distance import Cache, distance, pair_size, sizes_of
+from nearpress.session import cut, small
 
-#: Rows of a block.
+#: Least and most rows of a block, bytes of one, and cells for each core.
 BLOCK = 64
+MOST_ROWS = 512
+BLOCK_BYTES = 32 << 20
+CELLS_A_CORE = 4
 #: Rows of a block where no text is held.
 TOKEN_BLOCK = 512
+#: Pairs of a cell where the pairs are given.
+CELL_PAIRS = 4_096
 
 _PAIR_NAMES = ["i", "j", "c_i", "c_j", "c_ij"]
 _PAIRS = "i long, j long, c_i long, c_j long, c_ij long"
@@ -32,9 +39,27 @@ def _blocked(df: DataFrame, blocks: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
 
-def _cells(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of a side, and bytes of its texts."""
+    size = F.sum(F.octet_length("text")) if "text" in df.columns else F.lit(0)
+    n, size = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return n, size
+
+
+def block_rows(n_pairs: int, cores: int) -> int:
+    """Rows of a block, so that the cells of all pairs occupy the cores."""
+    return int(min(MOST_ROWS, max(BLOCK, math.sqrt(n_pairs / (CELLS_A_CORE * max(1, cores))))))
+
+
+def _blocks(n: int, size: int, rows: int) -> int:
+    return max(1, math.ceil(n / rows), math.ceil(size / BLOCK_BYTES))
+
+
+def _cells(left: DataFrame, right: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``lb, rb``, each row in every cell of its block."""
-    n_left, n_right = (max(1, math.ceil(d.count() / block)) for d in (left, right))
+    (n, size), (m, other) = _measured(left), _measured(right)
+    rows = block or block_rows(n * m, left.sparkSession.sparkContext.defaultParallelism)
+    n_left, n_right = _blocks(n, size, rows), _blocks(m, other, rows)
     left = _blocked(left, n_left, "lb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     right = _blocked(_fresh(right), n_right, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     return left, right
@@ -45,9 +70,10 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _half_cells(df: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _half_cells(df: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
     """A table with itself in the cells ``lb <= rb``."""
-    n = max(1, math.ceil(df.count() / block))
+    n, size = _measured(df)
+    n = _blocks(n, size, block or block_rows(n * n // 2, df.sparkSession.sparkContext.defaultParallelism))
     left = _blocked(df, n, "lb").withColumn("rb", F.explode(F.sequence(F.col("lb"), F.lit(n - 1))))
     right = _blocked(_fresh(df), n, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb"))))
     return left, right
@@ -75,31 +101,70 @@ def _cell_distances(codec: Spec, half: bool):
     return op
 
 
-def _rows(df: DataFrame, codec: Spec) -> DataFrame:
-    return sizes_of(df.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null"), "text", codec)
+def _rows(df: DataFrame, codec: Spec, cache: bool | Cache) -> DataFrame:
+    return sizes_of(df.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null"), "text", codec, cache=cache)
 
 
 def _finished(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("d", distance("c_i", "c_j", "c_ij"))
 
 
-def cross_distances(left: DataFrame, right: DataFrame, codec: Spec, block: int = BLOCK) -> DataFrame:
+def cross_distances(left: DataFrame, right: DataFrame, codec: Spec, block: int | None = None, cache: bool | Cache = True) -> DataFrame:
     """``i, j, c_i, c_j, c_ij, d`` of every row of one side with every row of the other.
 
     Meant for a stated set against a table.  Rows with a null id or text have
-    no pair.
+    no pair.  ``cache`` is that of ``sizes_of``.
     """
-    a, b = _cells(cut(_rows(left, codec)), cut(_rows(right, codec)), block)
+    a, b = _cells(cut(_rows(left, codec, cache)), cut(_rows(right, codec, cache)), block)
     pairs = a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(_cell_distances(codec, False), _PAIRS)
     return _finished(pairs)
 
 
-def self_distances(df: DataFrame, codec: Spec, block: int = BLOCK) -> DataFrame:
+def self_distances(df: DataFrame, codec: Spec, block: int | None = None, cache: bool | Cache = True) -> DataFrame:
     """``i, j, c_i, c_j, c_ij, d`` of every unordered pair ``i <= j``, each with itself included."""
-    a, b = _half_cells(cut(_rows(df, codec)), block)
+    a, b = _half_cells(cut(_rows(df, codec, cache)), block)
     return _finished(a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(_cell_distances(codec, True), _PAIRS))
 
 
+def _listed(codec: Spec):
+    def op(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 5, names=_PAIR_NAMES)
+        size = pair_size(codec)
+        of = {k: (t.encode(), c) for k, t, c in zip(*(right.column(x).to_pylist() for x in ("id", "text", "c")))}
+        out: list[list[int]] = [[], [], [], [], []]
+        for i, j in zip(left.column("i").to_pylist(), left.column("j").to_pylist()):
+            (x, ci), (y, cj) = of[i], of[j]
+            for column, value in zip(out, (i, j, ci, cj, size(x, y))):
+                column.append(value)
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=_PAIR_NAMES)
+
+    return op
+
+
+def listed_distances(listed: DataFrame, texts: DataFrame, codec: Spec, cache: bool | Cache = True) -> DataFrame:
+    """``i, j, c_i, c_j, c_ij, d`` of the pairs ``i, j`` that are listed, of one table of texts.
+
+    Nothing else is compressed together.  Pairs are put into cells by the hash
+    of their ends, a cell of too many is split by the hash of its pairs, and a
+    text goes to each of its cells once.  Pairs of which an end has no text
+    drop out.
+    """
+    rows = cut(_rows(texts, codec, cache))
+    listed = listed.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct()
+    for end in ("i", "j"):
+        listed = listed.join(rows.select(F.col("id").alias(end)), end, "left_semi")
+    listed = cut(listed)
+    side = max(1, math.ceil(math.sqrt(listed.count() / CELL_PAIRS)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    placed = listed.withColumn("cell", part("i") * side + part("j"))
+    weight = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PAIRS).alias("parts"))
+    placed = cut(placed.join(small(weight, side * side), "cell").select("i", "j", "cell", F.pmod(F.xxhash64("i", "j"), F.col("parts")).alias("sub")))
+    ends = placed.select(F.col("cell").alias("c_cell"), F.col("sub").alias("c_sub"), F.explode(F.array("i", "j")).alias("id")).distinct()
+    there = ends.join(rows, "id")
+    return _finished(placed.groupBy("cell", "sub").cogroup(there.groupBy("c_cell", "c_sub")).applyInArrow(_listed(codec), _PAIRS))
+
+
 def mirrored(pairs: DataFrame) -> DataFrame:
     """The full square of a half: pairs off the diagonal a second time, turned."""
     turned = pairs.where("i <> j").select(*[F.col(b).alias(a) for a, b in _turn(pairs.columns)])
@@ -142,7 +207,10 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def wide(pairs: DataFrame) -> DataFrame:
-    """``i, d``: the row of each ``i`` as an array in the order of ``j``."""
+    """``i, d``: the row of each ``i`` as an array in the order of ``j``.
+
+    For matrices to be looked at: a row is held whole.
+    """
     return pairs.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "d"))).alias("r")).select("i", F.transform("r", lambda x: x["d"]).alias("d"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from nearpress.functions.labels import ICONS
 from nearpress.operators.search import scale_tolerance
-from nearpress.plans.registry import PIVOTS, QUERY_STEP, TOKEN_TOLERANCE, TOLERANCE
+from nearpress.plans.registry import BENT_TOLERANCE, PIVOTS, QUERY_STEP, TOKEN_TOLERANCE, TOLERANCE
 
 _TOL = scale_tolerance(TOLERANCE)
 _TOKEN_TOL = scale_tolerance(TOKEN_TOLERANCE)
+_BENT_TOL = scale_tolerance(BENT_TOLERANCE)
 _WHITE = r"[\s\x{85}\p{Z}]"
 
 
@@ -53,6 +54,18 @@ x AS (SELECT a.id AS wiki_id, b.id AS grok_id, a.i, b.i AS j, {_token_distance('
   FROM c a, c b WHERE a.kind = 'wiki' AND b.kind = 'grok' AND a.id % {QUERY_STEP} = 0),
 s AS (SELECT i, j, CASE WHEN i = j THEN 'Same Subject' ELSE 'Different Subjects' END AS grp, d FROM x WHERE j >= i)"""
 
+_BENT = "(({d}) * ({d})) * (({d}) * ({d})) * (({d}) * ({d}))"
+_BENT_SEARCH = f"""{_PAIRS}, scaled AS (SELECT i AS q, x, {_SCALED.format(d=_BENT.format(d='d'))} AS d_scaled FROM pairs),
+brute AS (SELECT q, min(x) FILTER (WHERE d_scaled <= {_BENT_TOL}) AS first_x, count(*) AS n FROM scaled GROUP BY q),
+n AS (SELECT count(*) AS n FROM t), piv AS (SELECT t.id, t.t, t.x FROM t, n WHERE t.x IN (SELECT (p * n) // least({PIVOTS}, n) FROM range({PIVOTS}) r(p) WHERE p < n)),
+far AS (SELECT p.x AS p, t.id, t.x, {_token_distance('p.t', 't.t')} AS d FROM piv p, t),
+tab AS (SELECT p, id, x, {_SCALED.format(d=_BENT.format(d='d'))} AS s FROM far),
+cand AS (SELECT a.id AS q, b.x FROM tab a JOIN tab b ON a.p = b.p WHERE a.id % {QUERY_STEP} = 0 GROUP BY 1, 2 HAVING bool_and(abs(a.s - b.s) <= {_BENT_TOL} + 1)),
+hits AS (SELECT q, x FROM scaled JOIN cand USING (q, x) WHERE d_scaled <= {_BENT_TOL}),
+diverged AS (SELECT b.q, b.first_x AS brute_x, coalesce(bool_or(h.x = b.first_x), false) AS in_pruned, count(h.x) AS n_pruned,
+  CASE WHEN b.first_x IS NULL THEN count(h.x) > 0 ELSE NOT coalesce(bool_or(h.x = b.first_x), false) END AS mismatch
+  FROM brute b LEFT JOIN hits h ON b.q = h.q GROUP BY b.q, b.first_x)"""
+
 _BIN = "CAST(CASE WHEN {d} < 0 THEN -1 WHEN {d} = 1 THEN 99 WHEN {d} > 1 THEN 100 ELSE floor({d} * 100) END AS INTEGER)"
 
 
@@ -64,6 +77,12 @@ def _clean(text: str) -> str:
     return out
 
 
+def _triangles(d: str) -> str:
+    return f"""WITH {_PAIRS},
+        e AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b, {d} AS d FROM pairs WHERE i <> j),
+        g AS (SELECT a AS u, b AS v, d FROM e UNION ALL SELECT b, a, d FROM e),
+        k AS (SELECT ab.u AS a, ab.v AS b, bc.v AS c, ab.d AS d_ab, ac.d AS d_ac, bc.d AS d_bc FROM g ab JOIN g bc ON ab.v = bc.u JOIN g ac ON ac.u = ab.u AND ac.v = bc.v WHERE ab.u < ab.v AND ab.v < bc.v)
+        SELECT * FROM k WHERE d_ab > d_ac + d_bc + 1e-12 OR d_ac > d_ab + d_bc + 1e-12 OR d_bc > d_ab + d_ac + 1e-12"""
 
 
 def _unquoted(p: str) -> str:
@@ -72,6 +91,9 @@ def _unquoted(p: str) -> str:
 
 _LINE = """'"' || url || '", "' || coalesce(page_type, '') || '"'"""
 
+_MATRIX = f"""WITH {_PAIRS} SELECT i, j, {_stem('r.url')} AS row_label, {_stem('c.url')} AS col_label, d
+        FROM pairs JOIN pages r ON i = r.page_id JOIN pages c ON j = c.page_id"""
+
 ORACLES: dict[str, str] = {
     "url_domain_path": f"""SELECT page_id, {_PARTS}[1] AS domain, CASE WHEN len({_PARTS}) <= 1 THEN '' WHEN {_PARTS}[-1] = '' THEN array_to_string({_PARTS}[2:], '/') || 'index.html'
         ELSE array_to_string({_PARTS}[2:], '/') || '.html' END AS path FROM pages""",
@@ -106,24 +128,19 @@ ORACLES: dict[str, str] = {
     "ncd_tokenset": f"""WITH t AS (SELECT text_id, body, {_tokens('body')} AS t FROM page_texts)
         SELECT a.text_id, CASE WHEN a.body IS NULL OR b.body IS NULL THEN NULL ELSE {_token_distance('a.t', 'b.t')} END AS d FROM t a JOIN t b ON b.text_id = a.text_id + 1""",
     "size_cache_stats": "SELECT count(text) AS lookups, count(DISTINCT text) AS misses, count(text) - count(DISTINCT text) AS hits FROM documents",
-    "matrix_tokenset": f"""WITH {_PAIRS} SELECT i, j, {_stem('r.url')} AS row_label, {_stem('c.url')} AS col_label, d
-        FROM pairs JOIN pages r ON i = r.page_id JOIN pages c ON j = c.page_id""",
-    "triangle_violations": f"""WITH {_PAIRS},
-        e AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b, d FROM pairs WHERE i <> j),
-        g AS (SELECT a AS u, b AS v, d FROM e UNION ALL SELECT b, a, d FROM e),
-        k AS (SELECT ab.u AS a, ab.v AS b, bc.v AS c, ab.d AS d_ab, ac.d AS d_ac, bc.d AS d_bc FROM g ab JOIN g bc ON ab.v = bc.u JOIN g ac ON ac.u = ab.u AND ac.v = bc.v WHERE ab.u < ab.v AND ab.v < bc.v)
-        SELECT * FROM k WHERE d_ab > d_ac + d_bc + 1e-12 OR d_ac > d_ab + d_bc + 1e-12 OR d_bc > d_ab + d_ac + 1e-12""",
+    "matrix_tokenset": _MATRIX,
+    "matrix_tokens_native": _MATRIX,
+    "triangle_violations": _triangles(_BENT.format(d="d")),
+    "triangle_holds": _triangles("d"),
+    "pivot_matrix": f"""WITH t AS (SELECT pivot_id AS id, {_tokens("replace(url, '/', ' ')")} AS t, '/' || array_to_string(list_transform(string_split(coalesce(string_split(url, '://')[2], ''), '/')[2:],
+        lambda p: CASE WHEN strlen(p) > 10 THEN left(p, 10) || '…' ELSE p END), '/') || ' {ICONS["article"]}' AS label FROM pivots)
+        SELECT a.id AS i, b.id AS j, a.label AS row_label, b.label AS col_label, {_token_distance('a.t', 'b.t')} AS d FROM t a, t b""",
     "range_first_match": f"WITH {_BRUTE} SELECT q, first_x, coalesce(first_x + 1, n) AS calls FROM brute",
     "range_search": f"WITH {_HITS} SELECT q, x, d_scaled FROM hits",
     "pruned_search": f"WITH {_HITS} SELECT q, x, d_scaled FROM hits",
-    "search_divergence": f"""WITH {_BRUTE} SELECT b.q, b.first_x AS brute_x, b.first_x IS NOT NULL AS in_pruned, count(h.x) AS n_pruned, false AS mismatch
-        FROM brute b LEFT JOIN hits h ON b.q = h.q GROUP BY b.q, b.first_x""",
-    "search_summary": f"""WITH {_BRUTE},
-        n AS (SELECT count(*) AS n FROM t), piv AS (SELECT t.id, t.t, t.x FROM t, n WHERE t.x IN (SELECT (p * n) // least({PIVOTS}, n) FROM range({PIVOTS}) r(p) WHERE p < n)),
-        tab AS (SELECT p.x AS p, t.id, t.x, {_SCALED.format(d=_token_distance('p.t', 't.t'))} AS s FROM piv p, t),
-        cand AS (SELECT a.id AS q, b.x FROM tab a JOIN tab b ON a.p = b.p WHERE a.id % {QUERY_STEP} = 0 GROUP BY 1, 2 HAVING bool_and(abs(a.s - b.s) <= {_TOKEN_TOL} + 1))
-        SELECT (SELECT count(*) FROM brute) AS queries, 0::BIGINT AS mismatches, (SELECT CAST(sum(coalesce(first_x + 1, n)) // greatest(count(*), 1) AS BIGINT) FROM brute) AS avg_brute_calls,
-        ((SELECT count(*) FROM cand) + (SELECT count(*) FROM brute) * (SELECT count(*) FROM piv)) // greatest((SELECT count(*) FROM brute), 1) AS avg_tree_calls""",
+    "search_divergence": f"WITH {_BENT_SEARCH} SELECT * FROM diverged",
+    "search_summary": f"""WITH {_BENT_SEARCH} SELECT (SELECT count(*) FROM brute) AS queries, (SELECT count(*) FROM diverged WHERE mismatch) AS mismatches,
+        (SELECT CAST(sum(coalesce(first_x + 1, n)) // greatest(count(*), 1) AS BIGINT) FROM brute) AS avg_brute_calls, (SELECT count(*) FROM cand) // greatest((SELECT count(*) FROM brute), 1) AS avg_tree_calls""",
     "cross_matrix_tokenset": f"WITH {_CROSS} SELECT wiki_id, grok_id, i, j, d FROM x",
     "related_split": f"WITH {_CROSS} SELECT * FROM s",
     "related_by_topic": f"WITH {_CROSS} SELECT wiki_id AS i, grok_id AS j, CASE WHEN same THEN 'Same Subject' ELSE 'Different Subjects' END AS grp, d FROM x",

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpress.codecs import Spec
+from nearpress.datasets import extracted
 from nearpress.functions import article, distance, html, labels
 from nearpress.operators import analytics, pairs, search, triangle
-from nearpress.session import cut, ordinal, small
+from nearpress.session import cut, ordinal
 from nearpress.sources import manifest, urls
 
 #: Every so many ids one is a query of a search.
@@ -25,6 +26,8 @@ TOLERANCE = 0.25
 TOKEN_TOLERANCE = 0.8
 #: Pivots of the pruned search.
 PIVOTS = 8
+#: Tolerance of the searches by bent distances.
+BENT_TOLERANCE = 0.25
 #: Neighbours of the flagship query.
 NEAREST = 5
 
@@ -239,19 +242,57 @@ def nearest_texts_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.nearest(found, 1).select(F.col("i").alias("page_id"), F.col("j").alias("other_id"), "d")
 
 
+STAND_IN = Spec("tokenset")
+
+
+def bent(d: str = "d"):
+    """A distance bent out of the metric: bounds fail for it, so that checks of failures find some."""
+    square = F.col(d) * F.col(d)
+    return square * square * square
+
+
 def _token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _page_texts(spark, sf_dir, F.col("html"))
-    return pairs.token_distances(_queries(pages), pages)
+    return pairs.cross_distances(_queries(pages), pages, STAND_IN)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), urls.url_stem("url").alias("label"))
 
 
 def matrix_tokenset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heatmap data of the queries against all pages."""
-    names = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), urls.url_stem("url").alias("label"))
+    names = _named(spark, sf_dir)
     return pairs.labelled(_token_pairs(spark, sf_dir), names, names)
 
 
+def matrix_tokens_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without Python."""
+    pages, names = _page_texts(spark, sf_dir, F.col("html")), _named(spark, sf_dir)
+    return pairs.labelled(pairs.token_distances(_queries(pages), pages), names, names)
+
+
+def pivot_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heatmap data of all pivots with all, by the pieces of their urls."""
+    piv = table(spark, sf_dir, "pivots")
+    texts = piv.select(F.col("pivot_id").alias("id"), F.translate("url", "/", " ").alias("text"))
+    names = piv.select(F.col("pivot_id").alias("id"), labels.page_label("url", F.lit("article")).alias("label"))
+    return pairs.labelled(pairs.mirrored(pairs.self_distances(texts, STAND_IN)).select("i", "j", "d"), names, names)
+
+
+def pivot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rows of a matrix, by brotli."""
+    texts = table(spark, sf_dir, "pivots").select(F.col("pivot_id").alias("id"), F.col("url").alias("text"))
+    return pairs.wide(pairs.mirrored(pairs.self_distances(texts, Spec("brotli_recommended")).select("i", "j", "d")))
+
+
 def triangle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of two queries and any page which break the triangle inequality."""
+    """Triples of two queries and any page whose bent distances break the triangle inequality."""
+    return triangle.triangle_violations(_token_pairs(spark, sf_dir).select("i", "j", bent().alias("d")))
+
+
+def triangle_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the stand-in, which is a metric: no triple."""
     return triangle.triangle_violations(_token_pairs(spark, sf_dir))
 
 
@@ -265,9 +306,9 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The positions, and ``q, x, d`` of every query with every page."""
     pages = _positions(spark, sf_dir)
-    found = pairs.token_distances(_queries(pages), pages)
+    found = pairs.cross_distances(_queries(pages.select("id", "text")), pages.select("id", "text"), STAND_IN)
     at = pages.select(F.col("id").alias("j"), "x")
-    return pages, found.join(at, "j").select(F.col("i").alias("q"), "x", "d")
+    return pages, cut(found.join(at, "j").select(F.col("i").alias("q"), "x", "d"))
 
 
 def range_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,39 +319,45 @@ def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.range_search(_searched(spark, sf_dir)[1], TOKEN_TOLERANCE)
 
 
-def _pruned(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``q, calls`` and ``q, x, d_scaled`` of the search by pivots."""
-    chosen = search.pivot_positions(pages.count(), PIVOTS)
-    piv = pages.where(F.col("x").isin(chosen))
-    far = pairs.token_distances(piv.select("id", "text"), pages.select("id", "text"))
-    order = piv.select(F.col("id").alias("i"), F.col("x").alias("q"))
-    at = pages.select(F.col("id").alias("j"), "x")
-    tab = cut(search.pivot_table(far.join(small(order, len(chosen)), "i").join(at, "j").select("q", "x", "d")))
-    ids = pages.select("id", "x")
-    queries = tab.join(_queries(ids), "x").select(F.col("id").alias("q"), "p")
-    left = cut(search.prune(queries, tab, TOKEN_TOLERANCE))
-    t = pages.select("id", "x", pairs.hashed_tokens("text").alias("t"))
-    both = left.join(t.select(F.col("id").alias("q"), F.col("t").alias("t_q")), "q").join(t.select("x", F.col("t").alias("t_x")), "x")
-    a, b, shared = F.size("t_q"), F.size("t_x"), F.size(F.array_intersect("t_q", "t_x"))
-    exact = both.select("q", "x", distance.distance(a, b, a + b - shared).alias("d"))
-    calls = left.groupBy("q").agg((F.count("*") + len(chosen)).alias("calls"))
-    return calls, search.range_search(exact, TOKEN_TOLERANCE)
+def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result as ``range_search``, by pivots: only what they don't rule out is measured."""
+    pages = _positions(spark, sf_dir)
+    hits, _ = search.indexed_search(pages.select("x", "text"), _queries(pages).select("x"), STAND_IN, TOKEN_TOLERANCE, PIVOTS)
+    at = pages.select(F.col("x").alias("at"), F.col("id").alias("page"))
+    return hits.join(at, hits.q == at["at"]).select(F.col("page").alias("q"), "x", "d_scaled")
 
 
-def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same result as ``range_search``, by pivots."""
-    return _pruned(_positions(spark, sf_dir))[1]
+def pruned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages within the tolerance of each query by structure, brotli, and the distances that took."""
+    pages = _page_texts(spark, sf_dir, html.html_structure("html")).where("text is not null")
+    at = ordinal(pages.select("id"), ["id"], out="x")
+    pages = cut(pages.join(at, "id"))
+    hits, calls = search.indexed_search(pages.select("x", "text"), _queries(pages).select("x"), Spec("brotli_recommended"), TOLERANCE, PIVOTS)
+    found = hits.groupBy("q").agg(F.count("*").alias("n"))
+    return calls.join(found, "q", "left").select("q", "calls", F.coalesce("n", F.lit(0)).alias("n_found"))
 
 
-def search_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bent_search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First matches, calls and pruned hits by bent distances, for which pruning loses some."""
     pages, found = _searched(spark, sf_dir)
-    return search.divergence(search.first_match(found, TOKEN_TOLERANCE), _pruned(pages)[1])
+    found = found.withColumn("d", bent())
+    brute = cut(search.first_match(found, BENT_TOLERANCE))
+    texts = pages.select(F.col("x").alias("id"), "text")
+    piv = texts.where(F.col("id").isin(search.pivot_positions(pages.count(), PIVOTS)))
+    far = pairs.cross_distances(piv, texts, STAND_IN).select(F.col("i").alias("q"), F.col("j").alias("x"), bent().alias("d"))
+    index = cut(search.pivot_table(far))
+    asked = index.join(_queries(pages.select("id", "x")), "x").select(F.col("id").alias("q"), "p")
+    left = cut(search.prune(asked, index, BENT_TOLERANCE))
+    return brute, left.groupBy("q").agg(F.count("*").alias("calls")), search.range_search(found.join(left, ["q", "x"], "left_semi"), BENT_TOLERANCE)
+
+
+def search_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brute, _, hits = _bent_search(spark, sf_dir)
+    return search.divergence(brute, hits)
 
 
 def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, found = _searched(spark, sf_dir)
-    brute = cut(search.first_match(found, TOKEN_TOLERANCE))
-    calls, hits = _pruned(pages)
+    brute, calls, hits = _bent_search(spark, sf_dir)
     return search.search_summary(brute, calls, search.divergence(brute, hits))
 
 
@@ -330,7 +377,7 @@ def _corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cross(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _corpora(spark, sf_dir)
     left, right = rows.where("kind = 'wiki'"), rows.where("kind = 'grok'")
-    found = pairs.token_distances(_queries(left), right)
+    found = pairs.cross_distances(_queries(left), right, STAND_IN)
     a, b = left.select("id", F.col("i").alias("a")), right.select("id", F.col("i").alias("b"))
     placed = found.join(a, found.i == a.id).drop("id").join(b, found.j == b.id).drop("id")
     return left, right, placed.select(F.col("i").alias("wiki_id"), F.col("j").alias("grok_id"), F.col("a").alias("i"), F.col("b").alias("j"), "d")
@@ -340,6 +387,16 @@ def cross_matrix_tokenset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross(spark, sf_dir)[2]
 
 
+def article_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heatmap data of the article texts of two corpora of pages, brotli; pages without one are left out."""
+    pages = typed_pages(spark, sf_dir).where("page_type in ('wiki', 'grok')").withColumnRenamed("html", "text")
+    rows = cut(extracted(pages, "drop").select(F.col("page_id").alias("id"), "text", "page_type", labels.page_label("url", "page_type").alias("label")))
+    side = lambda kind: rows.where(F.col("page_type") == kind).select("id", "text", "label")
+    found = pairs.cross_distances(_queries(side("wiki")), side("grok"), Spec("brotli_recommended"))
+    named = pairs.labelled(found.select("i", "j", "d"), side("wiki"), side("grok"))
+    return named.withColumnRenamed("row_label", "wiki_label").withColumnRenamed("col_label", "grok_label")
+
+
 def related_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.related_split(_cross(spark, sf_dir)[2])
 
@@ -382,8 +439,9 @@ url_domain_path url_decoded_name manifest_parse file_resolution first_entry page
 distance_given_sizes distance_scale measured_histogram measured_median measured_range measured_latest scatter_data optimal_opts_rank
 clean_text_basic clean_text article_content wiki_content grok_content html_structure html_strip_content
 size_zstd size_brotli size_tokenset size_cache_stats ncd_brotli ncd_zstd ncd_tokenset html_distance nearest_pages nearest_texts_zstd
-matrix_tokenset triangle_violations range_first_match range_search pruned_search search_divergence search_summary
-cross_matrix_tokenset related_split related_by_topic distance_histogram group_median same_page_sweep optimal_opts
+matrix_tokenset matrix_tokens_native pivot_matrix pivot_rows triangle_violations triangle_holds
+range_first_match range_search pruned_search pruned_pages search_divergence search_summary
+cross_matrix_tokenset article_matrix related_split related_by_topic distance_histogram group_median same_page_sweep optimal_opts
 """.split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES}

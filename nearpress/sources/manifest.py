@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearpress.session import cut, ordinal
 from nearpress.sources.urls import url_stem
 
 #: Suffixes a file may have, in the order they are tried.
@@ -31,11 +32,13 @@ def read_manifest(spark: SparkSession, path: str, mode: str = "compat") -> DataF
     """``pos, url, page_type`` of ``dataset.csv`` in a folder, or of the file itself.
 
     ``compat`` cuts at every comma, ``csv`` minds quotes.  ``pos`` counts the
-    lines after the header; lines that don't parse are left out.
+    lines after the header; lines that don't parse are left out.  The file may
+    be read in pieces: lines are numbered by where their piece begins and their
+    place in it.
     """
     path = path if path.endswith(".csv") else path.rstrip("/") + "/dataset.csv"
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("n > 0")
-    lines = lines.select((F.col("n") - 1).cast("long").alias("pos"), "line")
+    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = ordinal(lines, ["start", "at"], out="n").where("n > 0").select((F.col("n") - 1).alias("pos"), "line")
     if mode == "csv":
         row = F.from_csv(F.col("line"), "url STRING, page_type STRING", {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
         return lines.where(F.trim("line") != "").select("pos", row.alias("row")).select("pos", "row.url", "row.page_type").where("url is not null and page_type is not null")
@@ -65,12 +68,13 @@ def resolve(manifest: DataFrame, listing: DataFrame, prefix: Column | str = "")
     inside = ~F.regexp_like("__stem", F.lit(r"(^/)|(^|/)\.\.(/|$)"))
     tried = [F.struct(F.lit(2 * k + d).alias("rank"), F.concat("__start", "__stem", F.lit(s + ("/index.html" if d == 0 else ""))).alias("filepath")) for k, s in enumerate(SUFFIXES) for d in (0, 1)]
     columns = manifest.columns
-    # the row travels with its candidates, so that its number is given once
-    rows = manifest.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__r"), stem.alias("__stem"), start.alias("__start"))
-    candidates = rows.where(inside).select("__row", "__r", F.explode(F.array(*tried)).alias("t")).select("__row", "__r", "t.rank", "t.filepath")
+    # rows are numbered once; only the number and the path are shuffled for the candidates
+    rows = cut(manifest.withColumn("__row", F.monotonically_increasing_id()))
+    paths = rows.select("__row", stem.alias("__stem"), start.alias("__start")).where(inside)
+    candidates = paths.select("__row", F.explode(F.array(*tried)).alias("t")).select("__row", "t.rank", "t.filepath")
     there = candidates.join(listing.select("filepath").distinct(), "filepath", "left_semi")
-    best = there.groupBy("__row").agg(F.min_by(F.struct("filepath", "__r"), "rank").alias("b"))
-    return best.select(*[F.col(f"b.__r.{c}").alias(c) for c in columns], F.col("b.filepath").alias("filepath"))
+    best = there.groupBy("__row").agg(F.min_by("filepath", "rank").alias("filepath"))
+    return rows.join(best, "__row").select(*columns, "filepath")
 
 
 def first_by_url(entries: DataFrame, *keys: str) -> DataFrame:
@@ -80,13 +84,20 @@ def first_by_url(entries: DataFrame, *keys: str) -> DataFrame:
     return entries.where("url is not null").groupBy(*keys, "url").agg(first).select(*keys, "url", *[f"first.{c}" for c in columns])
 
 
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """``filepath, content`` of the files below a folder, each read whole."""
+def read_texts(spark: SparkSession, root: str, errors: str = "raise") -> DataFrame:
+    """``filepath, content`` of the files below a folder, each read whole.
+
+    A file that isn't UTF-8 is an error; ``replace`` puts the replacement sign
+    for what can't be read, ``null`` gives null.
+    """
+    how = {"raise": F.validate_utf8, "replace": F.make_valid_utf8, "null": F.try_validate_utf8}
+    if errors not in how:
+        raise ValueError(f"errors is raise, replace or null, not {errors}")
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
     name = F.when(F.startswith(plain, F.lit(base + "/")), F.substr(plain, F.lit(len(base) + 2))).otherwise(plain)
-    return files.select(name.alias("filepath"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(name.alias("filepath"), how[errors](F.col("content").cast("string")).alias("content"))
 
 
 def write_new(rows: DataFrame, path: str, key: str = "filepath") -> None:

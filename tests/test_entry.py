@@ -85,6 +85,7 @@ def test_command_line(spark, corpus, capsys):
     assert h.agg({"n": "sum"}).first()[0] == 6 and med.count() == 2
     s = cli.bk_tree(spark, corpus, 0.25, Spec("tokenset")).first()
     assert s.queries == 6 and s.mismatches == 0
+    assert cli.bk_tree(spark, corpus).first().queries == 6
     four = [f"{corpus}/{k}/{t}.html" for t in ("Alpha", "Beta") for k in ("wiki", "page")]
     best = cli.optimal_opts(spark, *four).first()
     assert 1 <= best.quality <= 11 and 10 <= best.lg_window_size <= 22
@@ -96,6 +97,14 @@ def test_command_line(spark, corpus, capsys):
         datasets.extracted(datasets.load(spark, corpus).withColumn("page_type", datasets.F.lit("user"))).collect()
 
 
+def test_commands_take_the_usual_datasets_and_codec(monkeypatch):
+    seen = []
+    monkeypatch.setattr(cli, "heatmap", lambda s, f, **kw: seen.append(f) or s.range(1))
+    cli.main(["--base", "/data", "heatmap"])
+    assert seen == ["/data/euronews.com", "/data/amazon", "/data/imdb", "/data/wikipedia"]
+    assert cli.CODEC == "brotli_recommended"
+
+
 def drain(spark, df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -163,3 +163,72 @@ def test_topic_pairs(spark):
     four = spark.createDataFrame([(s, s) for s in ("w1", "g1", "w2", "g2")], "slot string, text string")
     got = {(r.text_a, r.text_b): r.sign for r in analytics.topic_pairs(four).collect()}
     assert got == {("w1", "g1"): -1, ("w2", "g2"): -1, ("w1", "w2"): 1, ("g1", "g2"): 1, ("w1", "g2"): 1, ("g1", "w2"): 1}
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.4, 0.8])
+def test_indexed_search_measures_only_what_pivots_leave(spark, tolerance):
+    data = texts(40, 9)
+    pages = spark.createDataFrame(data, "x long, text string")
+    asked = pages.where("x % 3 = 0")
+    hits, calls = search.indexed_search(pages, asked, Spec("tokenset"), tolerance, 4)
+    want = {(q, x) for (q, a), (x, b) in itertools.product(data, data) if q % 3 == 0 and round(token_distance(a, b) * 10000) <= round(tolerance * 10000)}
+    assert {(r.q, r.x) for r in hits.collect()} == want
+    pivots = search.pivot_positions(40, 4)
+    far = {x: [round(token_distance(data[p][1], t) * 10000) for p in pivots] for x, t in data}
+    left = {q: sum(all(abs(a - b) <= round(tolerance * 10000) + 1 for a, b in zip(far[q], far[x])) for x in far) for q in far if q % 3 == 0}
+    assert {r.q: r.calls for r in calls.collect()} == left
+    assert tolerance > 0.5 or sum(left.values()) < 40 * len(left)
+    none, no_calls = search.indexed_search(pages.limit(0), pages.limit(0), Spec("tokenset"), tolerance)
+    assert none.count() == 0 and no_calls.count() == 0
+
+
+@pytest.mark.parametrize("cell", [3, 4_096])
+def test_listed_pairs(spark, cell, monkeypatch):
+    monkeypatch.setattr(pairs, "CELL_PAIRS", cell)
+    data = texts(30)
+    df = spark.createDataFrame([*data, (50, None)], "id long, text string")
+    listed = [(0, k) for k in range(30)] + [(k, 7) for k in range(30)] + [(1, 50), (99, 1), (0, 3)]
+    got = square(pairs.listed_distances(spark.createDataFrame(listed, "i long, j long"), df, Spec("tokenset")))
+    assert got == pytest.approx({(i, j): token_distance(data[i][1], data[j][1]) for i, j in listed[:60]})
+
+
+def test_blocks_grow_with_the_pairs_and_not_with_the_bytes(spark):
+    assert pairs.block_rows(1_000, 8) == 64 and pairs.block_rows(10**12, 8) == 512 and 64 < pairs.block_rows(1_000_000, 8) < 512
+    assert pairs._blocks(100, 0, 64) == 2 and pairs._blocks(100, 10 * pairs.BLOCK_BYTES, 64) == 10
+
+
+class Counted:
+    """A cache that counts what it is asked."""
+
+    def __init__(self):
+        self.asked, self.kept = [], None
+
+    def known(self, spark, codec):
+        self.asked.append(codec.name)
+        return self.kept
+
+    def store(self, sizes, codec):
+        self.kept = sizes if self.kept is None else self.kept.unionByName(sizes)
+
+
+def test_caches_on_pair_operators(spark, tmp_path):
+    from nearpress.functions.distance import ParquetCache
+
+    df = spark.createDataFrame(texts(12) + [(12, "a b"), (13, "a b")], "id long, text string")
+    want = square(pairs.self_distances(df, Spec("brotli"), cache=False))
+    own = Counted()
+    for _ in range(2):
+        assert square(pairs.self_distances(df, Spec("brotli"), cache=own)) == want
+    n = df.select("text").distinct().count()
+    assert own.asked == ["brotli", "brotli"] and own.kept.count() == n
+    kept = ParquetCache(str(tmp_path / "sizes"))
+    assert square(pairs.cross_distances(df.where("id < 3"), df, Spec("brotli"), cache=kept)) == pytest.approx({k: v for k, v in square(pairs.mirrored(pairs.self_distances(df, Spec("brotli")))).items() if k[0] < 3})
+    assert kept.known(spark, Spec("brotli")).select("h0", "h1").distinct().count() == n
+    assert kept.known(spark, Spec("zstd")) is None
+
+
+def test_divergence_counts_without_gathering(spark):
+    brute = spark.createDataFrame([(1, 3, 4), (2, None, 9), (3, 5, 6), (4, None, 9)], "q long, first_x long, calls long")
+    hits = spark.createDataFrame([(1, 3, 1), (1, 8, 1), (3, 9, 2), (4, 1, 1)], "q long, x long, d_scaled long")
+    got = {r.q: (r.brute_x, r.in_pruned, r.n_pruned, r.mismatch) for r in search.divergence(brute, hits).collect()}
+    assert got == {1: (3, True, 2, False), 2: (None, False, 0, False), 3: (5, False, 1, True), 4: (None, False, 1, True)}

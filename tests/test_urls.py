@@ -100,3 +100,29 @@ def test_write_new_is_idempotent(spark, tmp_path):
 def test_topic(spark):
     assert one(spark, urls.topic("v"), "https://e.org/wiki/Halophila%20x") == "halophila x"
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_manifest_is_read_in_pieces(spark, tmp_path):
+    """Lines keep their order and numbers however the file is cut."""
+    root = tmp_path / "many"
+    root.mkdir()
+    lines = [f'"http://a.example/{k}", "t{k}"' if k % 7 else "" for k in range(5_000)]
+    (root / "dataset.csv").write_text("url, type\r\n" + "\r\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = [(r.pos, r.url, r.page_type) for r in manifest.read_manifest(spark, str(root)).orderBy("pos").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(k, f"http://a.example/{k}", f"t{k}") for k in range(5_000) if k % 7]
+
+
+def test_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("é")
+    assert [tuple(r) for r in manifest.read_texts(spark, str(tmp_path)).collect()] == [("good.txt", "é")]
+    (tmp_path / "bad.txt").write_bytes(b"a\xff")
+    with pytest.raises(Exception, match="UTF"):
+        manifest.read_texts(spark, str(tmp_path)).collect()
+    assert {r.filepath: r.content for r in manifest.read_texts(spark, str(tmp_path), "replace").collect()} == {"good.txt": "é", "bad.txt": "a�"}
+    assert {r.filepath: r.content for r in manifest.read_texts(spark, str(tmp_path), "null").collect()} == {"good.txt": "é", "bad.txt": None}
