@@ -3,8 +3,8 @@
 Gradient-boosted trees judge every node of a page from features of the node
 and its place: density of the text below, attribute tokens, depth, siblings
 before and after, parent and outer block, wording scores.  They are fitted with
-and without the wording scores, so that pages of other words are judged by
-their structure.  A page is then decoded as a whole: a node can be body only
+and without the wording scores, and on made pages of random words and layouts;
+pages whose words are mostly unknown are judged by their structure alone.  A page is then decoded as a whole: a node can be body only
 with its ancestors, and an inner node only with something below it, and of all
 such choices the one with the highest sum of log-odds is taken.
 

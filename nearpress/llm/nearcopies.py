@@ -46,7 +46,7 @@ MAX_ROUNDS = 100
 #: Rows of a block in which large groups are compared.
 BLOCK = 1_000
 #: Runs of words of the sets of a cell in which pairs are checked, about; a set of more is one in a cell of its own.
-CELL_RUNS = 2_000_000
+CELL_RUNS = 250_000
 #: Bytes of text taken at once in a Python worker.
 SLICE_BYTES = 4_000_000
 

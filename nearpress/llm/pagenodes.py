@@ -26,6 +26,8 @@ HIDDEN = frozenset("head script style noscript template svg iframe object select
 TAGS = "html body div section article main nav aside header footer ul ol table tbody tr td p span li dd dt dl h1 h2 h3 h4 blockquote button small strong b a form #text #line #group".split()
 #: Page types told apart by the features.
 PAGE_TYPES = "article category grok wiki disambiguation user tag section product profile news_article search person video store special user_list neutral biased movie".split()
+#: Share of a page's words that must have a score for scores to be used.
+KNOWN_WORDS = 0.4
 #: Places of hashed attribute tokens.
 ATTR_PLACES = 24
 
@@ -265,6 +267,9 @@ def batch_features(pages: list[tuple[Block, str | None]], scores: dict[str, floa
     own = np.zeros((n, n_text))
     if len(leaves):
         own[leaves] = text_features([blocks[i].text for i in leaves], np.array([blocks[i].linked for i in leaves], float), scores)
+        # a few words alike in another language tell nothing
+        known = np.bincount(page, own[:, 0] * own[:, _SCORE + 3], minlength=len(pages)) >= KNOWN_WORDS * np.bincount(page, own[:, 0], minlength=len(pages))
+        own[~known[page], _SCORE:] = 0
     # sums over the leaves below
     h1 = leaf & (tags == _TAG_PLACE["h1"])
     listed = np.isin(tags, (_TAG_PLACE["li"], _TAG_PLACE["#line"]))

@@ -8,6 +8,7 @@ from nearpress.llm import boosting, mainbody as M, pagelabels, pagenodes
 from nearpress.llm.common import table
 
 from ..conftest import SF
+from .own_pages import OWN
 
 PAGE = """<!doctype html>
 <html><head><title>Old Harbour - Site</title></head>
@@ -98,6 +99,45 @@ def test_held_out_accuracy(spark):
     assert right / found > 0.98 and right / there > 0.98
 
 
+@pytest.mark.parametrize("kind", ["article", "news_article", None])
+def test_pages_of_other_sites_and_languages(kind):
+    """All lines of all nine pages but a short last paragraph in a table of the Dutch one."""
+    wrong = {lang: set(M.body_lines(source, kind, M.load_model())) ^ want for lang, (source, want) in OWN.items()}
+    assert {k: v for k, v in wrong.items() if v} in ({}, {"nl": {14}})
+
+
+def test_made_pages_are_labelled_by_line():
+    from nearpress.llm.pagemaker import made_pages
+
+    pages = made_pages(120, seed=99)  # not those of the fit
+    right = found = there = 0
+    for (source, want), got in zip(pages, M.bodies_lines([(h, "article") for h, _ in pages], M.load_model())):
+        right, found, there = right + len(want & set(got)), found + len(got), there + len(want)
+    assert right / found > 0.95 and right / there > 0.95
+
+
+def test_work_is_in_proportion_to_the_page():
+    """Thousands of siblings, lines of spans and nested inline elements."""
+    import time
+
+    def seconds(source):
+        began = time.perf_counter()
+        pagenodes.features(pagenodes.page_tree(source), "article", {})
+        return time.perf_counter() - began
+
+    seconds(PAGE)
+    for make in (lambda n: "<ul>" + "".join(f"<li>Item {k}\n" for k in range(n)) + "</ul>", lambda n: "\n".join(f"<span>Line {k} of text</span>" for k in range(n)), lambda n: "<b><i>" * (n // 10) + "x"):
+        assert seconds(make(8_000)) < 2.5
+        assert seconds(make(16_000)) < 4 * max(seconds(make(8_000)), 0.05)
+
+
+def test_features_of_a_batch_are_those_of_each_page():
+    trees = [(pagenodes.page_tree(x), k) for x, k in ((PAGE, "article"), (PAGE.replace("\n", " "), None), ("one\ntwo\n\nthree", "wiki"), *((h, "tag") for h, _ in OWN.values()))]
+    scores = M.load_model()[1]
+    together = pagenodes.batch_features(trees, scores)[1]
+    assert np.array_equal(together, np.concatenate([pagenodes.features(root, k, scores)[1] for root, k in trees]))
+
+
 def test_edges(spark):
     pages = spark.createDataFrame([(1, "f", PAGE, "k", 0), (1, "f", PAGE, "k", 0), (2, "g", None, "k", 0), (None, "f", PAGE, "k", 0), (3, None, PAGE, "k", 0), (4, "f", "", "k", 0)], "page_id long, filepath string, html string, kind string, line_no int")
     entries = spark.createDataFrame([("f", " Article", 1), ("f", "article", 1), ("f", "search", 1), ("f", None, 1), (None, "x", 1), ("f", "", 1)], "filepath string, page_type string, n int")
