@@ -24,7 +24,7 @@ from nearpress.codecs import Spec
 from nearpress.functions import html
 from nearpress.functions.article import article_content, GROK, WIKI
 from nearpress.operators import analytics, pairs, search, triangle
-from nearpress.session import cut, ordinal
+from nearpress.session import cut, ordinal, scratch
 
 CODEC = "brotli_recommended"
 #: The datasets of a command that is given none.
@@ -115,19 +115,19 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("w1", "g1", "w2", "g2"):
         four.add_argument(name)
     a = parser.parse_args(argv)
-    # checkpoints are removed once nothing refers to them
-    spark = SparkSession.builder.appName("nearpress").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
+    spark = SparkSession.builder.appName("nearpress").getOrCreate()
     at = lambda path: os.path.join(a.base, path)
-    if a.command == "same-page":
-        out = same_page(spark, os.path.abspath(at(a.file)))
-    elif a.command == "wiki-vs-grok":
-        out = wiki_vs_grok(spark, at(a.folder))
-    elif a.command == "optimal-opts":
-        out = optimal_opts(spark, *map(at, (a.w1, a.g1, a.w2, a.g2)))
-    else:
-        one = {"heatmap": heatmap, "triangle-inequality": triangle_inequality, "bk-tree": lambda s, f: bk_tree(s, f, a.tolerance)}[a.command]
-        out = reduce(DataFrame.unionByName, [one(spark, at(f)).withColumn("dataset", F.lit(f)) for f in a.folders])
-    out.show(1_000, truncate=False)
+    with scratch():
+        if a.command == "same-page":
+            out = same_page(spark, os.path.abspath(at(a.file)))
+        elif a.command == "wiki-vs-grok":
+            out = wiki_vs_grok(spark, at(a.folder))
+        elif a.command == "optimal-opts":
+            out = optimal_opts(spark, *map(at, (a.w1, a.g1, a.w2, a.g2)))
+        else:
+            one = {"heatmap": heatmap, "triangle-inequality": triangle_inequality, "bk-tree": lambda s, f: bk_tree(s, f, a.tolerance)}[a.command]
+            out = reduce(DataFrame.unionByName, [one(spark, at(f)).withColumn("dataset", F.lit(f)) for f in a.folders])
+        out.show(1_000, truncate=False)
 
 
 if __name__ == "__main__":

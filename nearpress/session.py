@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Files of the checkpoints made within each open ``scratch``.
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _SCRATCH:
+        made = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if made.isDefined():
+            _SCRATCH[-1].append((df.sparkSession, made.get()))
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the checkpoints made within when left; what is built there has to be written before.
+
+        with scratch():
+            query(spark, folder).write.parquet(path)
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for spark, file in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, n_rows: int, row_bytes: int = 64) -> DataFrame:

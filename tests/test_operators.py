@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nearpress.codecs import Spec
 from nearpress.functions.distance import pair_size
 from nearpress.operators import analytics, pairs, search, triangle
-from nearpress.session import ordinal
+from nearpress.session import cut, ordinal, scratch
 
 
 def texts(n, seed=3):
@@ -232,3 +232,16 @@ def test_divergence_counts_without_gathering(spark):
     hits = spark.createDataFrame([(1, 3, 1), (1, 8, 1), (3, 9, 2), (4, 1, 1)], "q long, x long, d_scaled long")
     got = {r.q: (r.brute_x, r.in_pruned, r.n_pruned, r.mismatch) for r in search.divergence(brute, hits).collect()}
     assert got == {1: (3, True, 2, False), 2: (None, False, 0, False), 3: (5, False, 1, True), 4: (None, False, 1, True)}
+
+
+def test_scratch_removes_its_checkpoints(spark):
+    import os
+
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(root))
+    with scratch():
+        made = cut(spark.range(10).select((F.col("id") * 2).alias("x")))
+        assert set(os.listdir(root)) - before and made.count() == 10
+    assert not set(os.listdir(root)) - before
+    kept = cut(spark.range(3).toDF("y"))
+    assert kept.count() == 3 and set(os.listdir(root)) - before
