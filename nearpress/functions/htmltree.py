@@ -113,17 +113,30 @@ def _attribute(value: str) -> str:
     return _REFERENCE.sub(one, value)
 
 
+#: A tag without attributes.
+_BARE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)>")
+_RAW_TEXT = frozenset((*RAW, *ESCAPABLE, "plaintext"))
+
+
 def tokens(source: str) -> Iterator[tuple]:
     """``("text", value, start, end)``, ``("start", name, attrs)``, ``("end", name)``, ``("comment",)``."""
     at, size, since = 0, len(source), 0
 
     def text(end: int):
-        return ("text", html.unescape(source[since:end]) if "&" in source[since:end] else source[since:end], since, end)
+        value = source[since:end]
+        return ("text", html.unescape(value) if "&" in value else value, since, end)
 
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
             break
+        bare = _BARE.match(source, lt)
+        if bare is not None and (name := bare.group(2).lower()) not in _RAW_TEXT:  # most tags have no attributes
+            if since < lt:
+                yield text(lt)
+            at = since = bare.end()
+            yield ("end", name) if bare.group(1) else ("start", name, {})
+            continue
         tag = _TAG.match(source, lt)
         if tag is None:
             nxt = source[lt + 1 : lt + 2]
