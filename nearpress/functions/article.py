@@ -22,6 +22,7 @@ LEAST_WORDS = 8
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0              　"
 _GAPS = re.compile(f"[{_WHITE}]+")
 _BRACKETED = re.compile(r"\[[^\]]*\]")
+# Signs that take no space before or after them, quotes, and endings.
 _AFTER_CLOSING_QUOTE = frozenset(",.:;!?)")
 _AFTER_CLOSING = frozenset(",.:;!?)]}")
 _OPENING = frozenset("([{")

@@ -8,6 +8,7 @@ def label(spark, url, kind, **kw):
 
 
 def test_labels(spark):
+    # fixed values: urls and the labels they must give
     assert label(spark, "https://en.wikipedia.org/wiki/Cretaceous", "article") == "/wiki/Cretaceous 📄"
     assert label(spark, "https://en.wikipedia.org/wiki/Pseudastacus", " Article ") == "/wiki/Pseudastac… 📄"
     assert label(spark, "no scheme", "") == "/ "

@@ -9,6 +9,7 @@ def one(spark, column, *values, schema="v string"):
     return df.select(column.alias("out")).first().out
 
 
+# Urls and the paths they must give.
 @pytest.mark.parametrize(
     ("url", "path"),
     [
@@ -25,6 +26,7 @@ def test_file_path(spark, url, path):
     assert one(spark, urls.url_file_path("v"), url) == path
 
 
+# Urls and the names they must give.
 @pytest.mark.parametrize(
     ("url", "stem"),
     [
