@@ -46,6 +46,7 @@ def test_examples():
 
 def test_returns_styles_and_hangul():
     assert form("a\r\x1f\nb", "a\r\r\nb", "a\rb", "\r") == ["a\nb", "a\nb", "a\rb", "\r"]
+    assert form("\u13aa\u13f4\u13df", "ꓮꓐꓚ", "ⒶⒷ") == ["ABC", "ABC", "ⒶⒷ"]
     assert form("𝐇𝐞𝐥𝐥𝐨 ℝ", "a\u1680b") == ["Hello R", "a b"]
     assert form("\u1112\u1161\u11ab\uae00", "\ud558\u11ab", "\ud55c\u11ab", "\u1161\u11ab") == ["한글", "한", "한\u11ab", "\u1161\u11ab"]
     assert form("\u1112", "\u1161") == ["\u1112", "\u1161"]
