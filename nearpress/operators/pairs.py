@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from nearpress.codecs import Spec
 from nearpress.functions.distance import Cache, distance, pair_size, sizes_of
-from nearpress.session import cut, small
+from nearpress.session import cut, small, spread
 
 #: Least and most rows of a block, bytes of one, and cells for each core.
-BLOCK = 64
+BLOCK = 32
 MOST_ROWS = 512
 BLOCK_BYTES = 32 << 20
-CELLS_A_CORE = 4
+CELLS_A_CORE = 16
 #: Rows of a block where no text is held.
 TOKEN_BLOCK = 512
 #: Pairs of a cell where the pairs are given.
@@ -56,13 +56,13 @@ def _blocks(n: int, size: int, rows: int) -> int:
 
 
 def _cells(left: DataFrame, right: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``lb, rb``, each row in every cell of its block."""
+    """Both sides with ``lb, rb``, each row in every cell of its block; parted by cells."""
     (n, size), (m, other) = _measured(left), _measured(right)
     rows = block or block_rows(n * m, left.sparkSession.sparkContext.defaultParallelism)
     n_left, n_right = _blocks(n, size, rows), _blocks(m, other, rows)
     left = _blocked(left, n_left, "lb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     right = _blocked(_fresh(right), n_right, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    return left, right
+    return tuple(spread(x, "lb", "rb", groups=n_left * n_right) for x in (left, right))
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def _half_cells(df: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]
     n = _blocks(n, size, block or block_rows(n * n // 2, df.sparkSession.sparkContext.defaultParallelism))
     left = _blocked(df, n, "lb").withColumn("rb", F.explode(F.sequence(F.col("lb"), F.lit(n - 1))))
     right = _blocked(_fresh(df), n, "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb"))))
-    return left, right
+    return tuple(spread(x, "lb", "rb", groups=n * (n + 1) // 2) for x in (left, right))
 
 
 def _cell_distances(codec: Spec, half: bool):
@@ -109,6 +109,10 @@ def _finished(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("d", distance("c_i", "c_j", "c_ij"))
 
 
+def _in_cells(a: DataFrame, b: DataFrame, op) -> DataFrame:
+    return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(op, _PAIRS)
+
+
 def cross_distances(left: DataFrame, right: DataFrame, codec: Spec, block: int | None = None, cache: bool | Cache = True) -> DataFrame:
     """``i, j, c_i, c_j, c_ij, d`` of every row of one side with every row of the other.
 
@@ -116,14 +120,13 @@ def cross_distances(left: DataFrame, right: DataFrame, codec: Spec, block: int |
     no pair.  ``cache`` is that of ``sizes_of``.
     """
     a, b = _cells(cut(_rows(left, codec, cache)), cut(_rows(right, codec, cache)), block)
-    pairs = a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(_cell_distances(codec, False), _PAIRS)
-    return _finished(pairs)
+    return _finished(_in_cells(a, b, _cell_distances(codec, False)))
 
 
 def self_distances(df: DataFrame, codec: Spec, block: int | None = None, cache: bool | Cache = True) -> DataFrame:
     """``i, j, c_i, c_j, c_ij, d`` of every unordered pair ``i <= j``, each with itself included."""
     a, b = _half_cells(cut(_rows(df, codec, cache)), block)
-    return _finished(a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(_cell_distances(codec, True), _PAIRS))
+    return _finished(_in_cells(a, b, _cell_distances(codec, True)))
 
 
 def _listed(codec: Spec):
@@ -155,14 +158,17 @@ def listed_distances(listed: DataFrame, texts: DataFrame, codec: Spec, cache: bo
     for end in ("i", "j"):
         listed = listed.join(rows.select(F.col("id").alias(end)), end, "left_semi")
     listed = cut(listed)
-    side = max(1, math.ceil(math.sqrt(listed.count() / CELL_PAIRS)))
+    n = listed.count()
+    cell_pairs = min(CELL_PAIRS, max(1, n // (CELLS_A_CORE * listed.sparkSession.sparkContext.defaultParallelism)))
+    side = max(1, math.ceil(math.sqrt(n / cell_pairs)))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     placed = listed.withColumn("cell", part("i") * side + part("j"))
-    weight = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PAIRS).alias("parts"))
+    weight = placed.groupBy("cell").agg(F.ceil(F.count("*") / cell_pairs).alias("parts"))
     placed = cut(placed.join(small(weight, side * side), "cell").select("i", "j", "cell", F.pmod(F.xxhash64("i", "j"), F.col("parts")).alias("sub")))
     ends = placed.select(F.col("cell").alias("c_cell"), F.col("sub").alias("c_sub"), F.explode(F.array("i", "j")).alias("id")).distinct()
     there = ends.join(rows, "id")
-    return _finished(placed.groupBy("cell", "sub").cogroup(there.groupBy("c_cell", "c_sub")).applyInArrow(_listed(codec), _PAIRS))
+    placed, there = spread(placed, "cell", "sub", groups=side * side).groupBy("cell", "sub"), spread(there, "c_cell", "c_sub", groups=side * side).groupBy("c_cell", "c_sub")
+    return _finished(placed.cogroup(there).applyInArrow(_listed(codec), _PAIRS))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

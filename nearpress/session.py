@@ -61,6 +61,22 @@ def scratch() -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tasks that heavy work is parted into at most.
+MOST_TASKS = 10_000
+
+
+def spread(df: DataFrame, *keys: str, groups: int = 0) -> DataFrame:
+    """Parts a table by keys for work that is heavy beside its bytes.
+
+    Adaptive execution would gather partitions of few bytes into one task,
+    however long their rows take; a number that is asked for it leaves alone.
+    With a number of ``groups`` about each is a task of its own.
+    """
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups, MOST_TASKS))
+    return df.repartition(n, *keys)
+
+
 def small(df: DataFrame, n_rows: int, row_bytes: int = 64) -> DataFrame:
     """Marks a counted table for broadcast if it is small; leaves it alone else."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS and n_rows * row_bytes <= BROADCAST_BYTES else df

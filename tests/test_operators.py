@@ -193,7 +193,7 @@ def test_listed_pairs(spark, cell, monkeypatch):
 
 
 def test_blocks_grow_with_the_pairs_and_not_with_the_bytes(spark):
-    assert pairs.block_rows(1_000, 8) == 64 and pairs.block_rows(10**12, 8) == 512 and 64 < pairs.block_rows(1_000_000, 8) < 512
+    assert pairs.block_rows(1_000, 8) == 32 and pairs.block_rows(10**12, 8) == 512 and 32 < pairs.block_rows(1_000_000, 8) < 512
     assert pairs._blocks(100, 0, 64) == 2 and pairs._blocks(100, 10 * pairs.BLOCK_BYTES, 64) == 10
 
 
