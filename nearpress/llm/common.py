@@ -35,6 +35,6 @@ def words_expr(col: Column | str) -> Column:
     return F.regexp_count(c, F.lit(NON_SPACE + "+"))
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a table whose counted rows are few; joins by shuffle beyond."""
-    return F.broadcast(df) if rows <= limit else df
+def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Broadcasts a table whose counted rows, of about so many bytes, are few; joins by shuffle beyond."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df

@@ -121,7 +121,7 @@ def typed_pages(pages: DataFrame, entries: DataFrame) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "filepath", "html").where("page_id is not null and html is not null")
     paths = pages.select("filepath").where("filepath is not null and html is not null").distinct()
     kinds = cut(kinds.join(paths, "filepath", "left_semi"))
-    return p.join(maybe_broadcast(kinds, kinds.count()), "filepath", "left").select("page_id", "html", "page_type")
+    return p.join(maybe_broadcast(kinds, kinds.count(), 300), "filepath", "left").select("page_id", "html", "page_type")
 
 
 def main_body(pages: DataFrame, entries: DataFrame, model_path: str = MODEL) -> DataFrame:
