@@ -286,7 +286,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     part = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(side)).cast("int")
     of = lambda c: sizes.select(F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"))
     placed = pairs.select("id_a", "id_b").join(of("a"), "id_a").join(of("b"), "id_b")
-    placed = cut(placed.select("id_a", "id_b", (part("id_a") * side + part("id_b")).alias("cell"), (F.col("n_a") + F.col("n_b")).alias("n")))
+    placed = placed.select("id_a", "id_b", (part("id_a") * side + part("id_b")).alias("cell"), (F.col("n_a") + F.col("n_b")).alias("n"))
     weight = placed.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_RUNS).alias("split"))
     placed = placed.join(maybe_broadcast(weight, side * side), "cell")
     placed = cut(placed.select("id_a", "id_b", "cell", F.pmod(F.xxhash64("id_a", "id_b"), F.col("split")).alias("sub")))

@@ -525,9 +525,8 @@ def residue(texts: DataFrame, entries: DataFrame, support: bool = True, align: b
     """
     placed = placed_texts(texts, entries)
     often = often_lines(hashed_lines(texts), placed, MIN_DOCS, RARE_SHARE)
-    repeated, rare = (looked_up(often, MIN_DOCS, share).withColumn("repeated", F.lit(share == MIN_SHARE)) for share in (MIN_SHARE, RARE_SHARE))
-    lines = repeated.unionByName(rare).groupBy(F.col("text_id").alias("id")).agg(
-        F.collect_set(F.when(F.col("repeated"), F.col("line_no"))).alias("repeated"), F.collect_set("line_no").alias("rare")
+    lines = looked_up(often, MIN_DOCS, RARE_SHARE).groupBy(F.col("text_id").alias("id")).agg(
+        F.collect_set(F.when(F.col("share") >= MIN_SHARE - 1e-9, F.col("line_no"))).alias("repeated"), F.collect_set("line_no").alias("rare")
     )
     base = texts.select(F.col("text_id").cast("long").alias("id"), "body").where("id is not null and body is not null")
     none = F.array().cast("array<long>")

@@ -67,13 +67,13 @@ def hashed_lines(texts: DataFrame) -> DataFrame:
 
 
 def placed_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """``site, text_id, at`` of the texts with a body whose file has a host, cut.
+    """``site, text_id, at`` of the texts with a body whose file has a host.
 
     ``site`` is a hash of the host, ``at`` the number of the text within it.
     """
     t = texts.where("body is not null and text_id is not null").select("filepath", F.col("text_id").cast("long").alias("text_id"))
     hosted = t.join(file_hosts(entries), "filepath").select(F.xxhash64("host").alias("site"), "text_id").distinct()
-    return cut(ordinal(hosted, ["text_id"], ["site"], out="at"))
+    return ordinal(hosted, ["text_id"], ["site"], out="at")
 
 
 def _reached(n: str, min_docs: int, min_share: float) -> Column:
@@ -116,7 +116,7 @@ def _whole() -> Column:
 
 
 def repeated_lines(candidates: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """``site, h0, h1, piece, low, bits``: the repeated lines with their bitmaps, cut.
+    """``site, h0, h1, n_docs, piece, low, bits``: the repeated lines with their bitmaps.
 
     The key holds the piece and the writing, so a hot host or line is spread by
     the numbers of its texts.
@@ -126,7 +126,7 @@ def repeated_lines(candidates: DataFrame, min_docs: int, min_share: float) -> Da
     united = variants.groupBy(*line, "n_texts", "piece").agg(F.bitmap_or_agg(_whole()).alias("all"), F.min("low").alias("low"), F.max(F.col("low") + F.length("bits")).alias("end"))
     united = cut(united.select(*line, "n_texts", "piece", "low", F.substring("all", F.col("low") + 1, F.col("end") - F.col("low")).alias("bits")))
     total = united.groupBy(*line, "n_texts").agg(F.sum(F.bitmap_count("bits")).alias("n_docs")).where(_reached("n_docs", min_docs, min_share))
-    return cut(united.drop("n_texts").join(total.select(line), line, "left_semi"))
+    return united.drop("n_texts").join(total.select(*line, "n_docs"), line)
 
 
 def _bit_set(bit: Column) -> Column:
@@ -137,13 +137,17 @@ def _bit_set(bit: Column) -> Column:
 
 
 def looked_up(candidates: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """``text_id, line_no`` of the candidates that are repeated lines, by bitmap lookup."""
+    """``text_id, line_no, share`` of the candidates that are repeated lines, by bitmap lookup.
+
+    ``share`` is that of the host's texts which hold the line.
+    """
     candidates = candidates.where(_reached("n", min_docs, min_share))
     repeated = repeated_lines(candidates, min_docs, min_share)
     size = repeated.agg(F.coalesce(F.sum(F.length("bits") + 64), F.lit(0))).first()[0]
     looked = candidates.withColumn("piece", F.bitmap_bucket_number(F.col("at") + 1))
     looked = looked.join(F.broadcast(repeated) if size <= BROADCAST_BYTES else repeated, ["site", "h0", "h1", "piece"])
-    return looked.where(_bit_set(F.bitmap_bit_position(F.col("at") + 1))).select("text_id", F.col("line_no").cast("long").alias("line_no"))
+    looked = looked.where(_bit_set(F.bitmap_bit_position(F.col("at") + 1)))
+    return looked.select("text_id", F.col("line_no").cast("long").alias("line_no"), (F.col("n_docs") / F.col("n_texts")).alias("share"))
 
 
 def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -156,7 +160,7 @@ def repeated_occurrences(texts: DataFrame, entries: DataFrame, min_docs: int = M
     are counted from 0 and parted at line feeds only.
     """
     often = often_lines(hashed_lines(texts), placed_texts(texts, entries), min_docs, min_share)
-    return looked_up(often, min_docs, min_share).distinct()
+    return looked_up(often, min_docs, min_share).select("text_id", "line_no").distinct()
 
 
 def remove_lines(texts: DataFrame, found: DataFrame) -> DataFrame:
