@@ -144,7 +144,8 @@ def learned(df: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[
     if total is None:
         return [], []
     known = counts.where((F.col("word") != "") & (F.col("docs") >= max(KNOWN_DOCS, KNOWN_SHARE * total.docs)))
-    ratio = (F.col("inside") / max(total.inside, 1)) / ((F.col("outside") + 1) / max(total.outside, 1))
+    # one that stands in sentences only is a word of prose, however small the table
+    ratio = (F.col("inside") / max(total.inside, 1)) / F.greatest(F.col("outside") / max(total.outside, 1), F.lit(1e-12))
     prose: tuple[list[str], list[str]] = [], []
     for r in known.select("word", (ratio >= PROSE_RATIO).alias("prose")).toLocalIterator():
         prose[0 if r.prose else 1].append(r.word)
