@@ -192,6 +192,29 @@ def test_listed_pairs(spark, cell, monkeypatch):
     assert got == pytest.approx({(i, j): token_distance(data[i][1], data[j][1]) for i, j in listed[:60]})
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_texts_are_those_of_all_pairs(spark, k, monkeypatch):
+    """Ties, equal texts, nulls and several cells; each two texts are measured once."""
+    data = texts(25) + [(30 + n, "a b c") for n in range(6)] + [(40, ""), (41, ""), (42, None), (None, "x")]
+    df = spark.createDataFrame(data, "id long, text string")
+    asked = df.where("id % 3 = 0 or id > 39")
+    want = {tuple(r) for r in pairs.nearest(pairs.cross_distances(asked, df, Spec("brotli")), k).collect()}
+    monkeypatch.setattr(pairs, "cross_distances", None)
+    monkeypatch.setattr(pairs, "block_rows", lambda n, cores: 5)
+    got = pairs.nearest_texts(asked, df, Spec("brotli"), k)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == k * len({i for i, t in data if i is not None and t is not None and (i % 3 == 0 or i > 39)})
+    assert pairs.nearest_texts(asked.limit(0), df, Spec("brotli"), k).count() == 0 and pairs.nearest_texts(asked, df.limit(0), Spec("brotli"), k).count() == 0
+
+
+@pytest.mark.parametrize("quality, window", [(0, 18), (1, 10), (5, 21), (9, 16), (10, 22), (11, 24)])
+def test_one_call_of_brotli_gives_the_size_of_a_stream(quality, window):
+    r = random.Random(quality)
+    codec = Spec("brotli", quality=quality, lg_window_size=window).make()
+    data = [b"", b"a", r.randbytes(5), r.randbytes(3_000), r.randbytes(59_000), b"ab" * 30_000, b"<p>x</p>" * 9_000]
+    data += [bytes(r.choices(b"abcdefgh <>", k=r.randint(1, 4_000))) for _ in range(20)]
+    assert [codec.size(d) for d in data] == [codec._streamed(d) for d in data]
+
+
 def test_blocks_grow_with_the_pairs_and_not_with_the_bytes(spark):
     assert pairs.block_rows(1_000, 8) == 32 and pairs.block_rows(10**12, 8) == 512 and 32 < pairs.block_rows(1_000_000, 8) < 512
     assert pairs._blocks(100, 0, 64) == 2 and pairs._blocks(100, 10 * pairs.BLOCK_BYTES, 64) == 10
