@@ -206,6 +206,27 @@ def test_nearest_texts_are_those_of_all_pairs(spark, k, monkeypatch):
     assert pairs.nearest_texts(asked.limit(0), df, Spec("brotli"), k).count() == 0 and pairs.nearest_texts(asked, df.limit(0), Spec("brotli"), k).count() == 0
 
 
+@pytest.mark.parametrize("name", ["nearest_texts_zstd"])
+def test_registered_nearest_make_no_list_of_pairs(spark, tmp_path, name, monkeypatch):
+    """The nearest by zstd of equal, empty and null pages; of ties the least id."""
+    from nearpress.codecs import Zstd
+    from nearpress.plans import registry
+
+    data = [(k, None if k == 7 else "" if k == 9 else f"<p>page {k % 6} of words {k % 4}</p>") for k in range(41)]
+    spark.createDataFrame(data, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    size, text = Zstd(18).size, {k: t.encode() for k, t in data if t is not None}
+    want = set()
+    for i in (0, 20, 40):
+        found = []
+        for j in text:
+            low, high = sorted((size(text[i]), size(text[j])))
+            both = min(size(text[i] + text[j]), size(text[j] + text[i]))
+            found += [(0.0 if both < low else (both - low) / high, j)] * (i != j)
+        want.add((i, min(found)[1], min(found)[0]))
+    monkeypatch.setattr(pairs, "cross_distances", None)
+    assert {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize("quality, window", [(0, 18), (1, 10), (5, 21), (9, 16), (10, 22), (11, 24)])
 def test_one_call_of_brotli_gives_the_size_of_a_stream(quality, window):
     r = random.Random(quality)
